@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import simhash
+from cloakframe.llm import langid, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op5_mixing": mixing.op5_mixing,
+    "op8_language_id": langid.op8_language_id,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": secrets.OP1_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+}
