@@ -5,8 +5,9 @@ hashes differ in at most `radius` bits. Bits that go together in the corpus are
 the 64 bits are cut into partitions of unequal width, and each partition i gets its own threshold
 t_i with sum(t_i + 1) = radius + 1: two hashes within the radius then differ in at most t_i bits of
 some partition. Widths and thresholds come from a dynamic programme over estimated candidate
-counts, so a larger corpus gets wider partitions. Probes meet in equi-joins, and each candidate is
-verified by its whole hash. The search is exact for the hashes.
+counts, so a larger corpus gets wider partitions. Each hash is a probe for all the values within
+ceil(t_i / 2) flips of its own in partition i, so hashes within t_i meet at a value; those that meet
+are verified by their whole hashes. The search is exact for the hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ RADIUS = 10
 BITS = 64
 #: Bits of one atom; a partition is a run of atoms.
 ATOM = 8
-#: Relative costs of one probe row (explode, shuffle, sort) and of one candidate (verified in the join).
-PROBE_COST, CANDIDATE_COST = 1.0, 0.03
+#: Relative costs, as measured, of one probe row (explode, shuffle, sort) and of one candidate (an XOR
+#: and a bit count in numpy).
+PROBE_COST, CANDIDATE_COST = 1.0, 0.003
+#: Groups of at most so many rows are compared by shifts of the whole column, larger ones by matrices
+#: of at most MATRIX cells.
+SMALL_GROUP, MATRIX = 32, 1 << 21
 
 
 def hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +55,7 @@ def hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         a, b = at[i], at[i + 1]
         if a < b:
-            out[i] = weights[2 * np.add.reduce(bits[a:b], axis=0, dtype=np.int32) > b - a].sum()
+            out[i] = weights[2 * np.add.reduce(bits[a:b], axis=0, dtype=np.int32) > b - a].sum(dtype=np.uint64)
         elif has[i]:
             out[i] = splitmix(np.array([hash_bytes(data[offsets[i] : offsets[i + 1]])], np.uint64))[0]
     return out, has
@@ -144,10 +149,14 @@ def atom_distances(sigs: DataFrame) -> list[np.ndarray]:
     return out
 
 
-def sides(width: int, t: int) -> tuple[int, int]:
-    """Probe and index rows of one hash in a partition: the flips are shared between the two sides."""
-    count = lambda r: sum(comb(width, j) for j in range(r + 1))
-    return count(t - t // 2), count(t // 2)
+def flip_radius(t: int) -> int:
+    """Flips of each hash for threshold t: two hashes t apart meet at a value within this of both."""
+    return t - t // 2
+
+
+def spread(width: int, t: int) -> int:
+    """Rows of one hash in a partition."""
+    return sum(comb(width, j) for j in range(flip_radius(t) + 1))
 
 
 def allot(atoms: list[np.ndarray], n: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -165,7 +174,7 @@ def allot(atoms: list[np.ndarray], n: int, radius: int = RADIUS) -> list[tuple[i
             near = np.convolve(near, atoms[b - 1])
             within, width = np.cumsum(near), (b - a) * ATOM
             for t in range(-1, min(width, radius) + 1):
-                cost = 0.0 if t < 0 else n * PROBE_COST * sum(sides(width, t)) + n * n / 2 * within[t] * CANDIDATE_COST
+                cost = 0.0 if t < 0 else n * PROBE_COST * spread(width, t) + n * n / 2 * within[t] * CANDIDATE_COST
                 for s in range(need - t):
                     if best[a][s] + cost < best[b][s + t + 1]:
                         best[b][s + t + 1] = best[a][s] + cost
@@ -187,30 +196,110 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_pairs(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v, distance), u < v: all pairs of distinct hashes within the radius, as permuted hashes.
+def meet(key: np.ndarray, sig: np.ndarray, inner: np.ndarray, radius: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs u < v of hashes within `radius` that share a key; `key` is sorted.
 
-    `sigs` has distinct values in `psig` and came from `planned`.
+    A pair counts if one of its rows is `inner`. With `forest`, a large group gives edges that connect
+    the same hashes as its pairs do, but no more than it has rows.
+    """
+    us, vs = [], []
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    small = np.repeat(sizes <= SMALL_GROUP, sizes)
+    k, s, e = key[small], sig[small], inner[small]
+    for d in range(1, SMALL_GROUP):
+        same = np.flatnonzero(k[d:] == k[:-d]) if d < len(k) else ()
+        if not len(same):
+            break
+        a, b = s[same], s[same + d]
+        near = (np.bitwise_count(a ^ b) <= radius) & (e[same] | e[same + d])
+        us.append(a[near])
+        vs.append(b[near])
+    for start, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
+        s, e = sig[start : start + size], inner[start : start + size]
+        label, step = np.arange(size), max(1, MATRIX // size)
+        for i in range(0, size, step):
+            near = (np.bitwise_count(s[i : i + step, None] ^ s[None, i:]) <= radius) & (e[i : i + step, None] | e[None, i:])
+            r, c = np.nonzero(near)
+            r, c = r + i, c + i
+            own = r < c
+            r, c = r[own], c[own]
+            if forest and len(r) > size:
+                r, c = _connect(label, r, c)
+            us.append(s[r])
+            vs.append(s[c])
+    u, v = np.concatenate(us or [sig[:0]]).view(np.int64), np.concatenate(vs or [sig[:0]]).view(np.int64)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _connect(label: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the edges r-c join beyond `label`, which is brought up to date."""
+    before = label.copy()
+    while True:
+        low = np.minimum(label[r], label[c])
+        old = label.copy()
+        np.minimum.at(label, label[r], low)
+        np.minimum.at(label, label[c], low)
+        while True:
+            jump = label[label]
+            if np.array_equal(jump, label):
+                break
+            label[:] = jump
+        if np.array_equal(old, label):
+            break
+    moved = np.unique(before[label != before])
+    return label[moved], moved
+
+
+def near_pairs(sigs: DataFrame, radius: int = RADIUS, forest: bool = False) -> DataFrame:
+    """(u, v), u < v: pairs of distinct hashes within the radius.
+
+    `sigs` has distinct values in `psig` and came from `planned`. All pairs, each once; with `forest`,
+    enough of them to connect the same hashes, perhaps repeated.
     """
     parts = allot(atom_distances(sigs), sigs.count(), radius)
 
     def keyed(p: int, own):
-        return lambda m: F.struct(F.lit(p).alias("part"), own.bitwiseXOR(m).alias("key"))
+        return lambda m: own.bitwiseXOR(m).bitwiseOR(F.lit(p << 56))
+
+    per_part, inner = [], []
+    for p, (at, width, t) in enumerate(parts):
+        own = F.shiftrightunsigned("psig", at)
+        if width < 64:
+            own = own.bitwiseAND(F.lit((1 << width) - 1))
+        masks = flips(width, flip_radius(t))
+        within = len(flips(width, t // 2))
+        per_part.append(F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), keyed(p, own)))
+        inner += [i < within for i in range(len(masks))]
+    rows = sigs.select("psig", F.posexplode(F.concat(*per_part)).alias("pos", "key"))
+    keys = rows.select("key", "psig", "pos").repartition("key").sortWithinPartitions("key")
+    flag = np.array(inner)
 
-    def rows(index: bool) -> DataFrame:
-        per_part = []
-        for p, (at, width, t) in enumerate(parts):
-            own = F.shiftrightunsigned("psig", at)
-            if width < 64:
-                own = own.bitwiseAND(F.lit((1 << width) - 1))
-            masks = F.array(*[F.lit(_signed(m)) for m in flips(width, t // 2 if index else t - t // 2)])
-            per_part.append(F.transform(masks, keyed(p, own)))
-        return sigs.select("psig", F.explode(F.concat(*per_part)).alias("k")).select("psig", "k.part", "k.key")
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settle(whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+            k, s, e = (np.concatenate(x) for x in zip(*whole))
+            u, v = meet(k, s, e, radius, forest)
+            for i in range(0, len(u), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 18)]), pa.array(v[i : i + (1 << 18)])], ["u", "v"])
 
-    left = rows(True).withColumnRenamed("psig", "u")
-    right = rows(False).withColumnRenamed("psig", "v")
-    distance = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    return left.join(right.hint("shuffle_hash"), ["part", "key"]).filter((F.col("u") < F.col("v")) & (distance <= radius)).select("u", "v").distinct().withColumn("distance", F.bit_count(F.col("u").bitwiseXOR(F.col("v"))))
+        for batch in batches:
+            k = batch.column(0).to_numpy(zero_copy_only=False)
+            s = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            e = flag[batch.column(2).to_numpy(zero_copy_only=False)]
+            cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
+            # The last key may go on in the next batch.
+            if len(k) and (cut or held and held[-1][0][-1] != k[0]):
+                yield from settle([*held, (k[:cut], s[:cut], e[:cut])])
+                held = []
+            if len(k):
+                held.append((k[cut:], s[cut:], e[cut:]))
+        if held:
+            yield from settle(held)
+
+    found = keys.mapInArrow(run, "u long, v long")
+    return found if forest else found.distinct()
 
 
 def planned(sigs: DataFrame) -> DataFrame:
@@ -237,7 +326,7 @@ def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     per_doc = checkpoint(planned(sigs))
     own = per_doc.groupBy("psig").agg(F.min("doc_id").alias("first_id"))
     own = checkpoint(own)
-    pairs = near_pairs(own.select("psig"), radius)
+    pairs = near_pairs(own.select("psig"), radius, forest=True)
     roots = components(pairs)
     groups = own.join(roots, own.psig == roots.node, "left").select("psig", "first_id", F.coalesce("root", "psig").alias("root"))
     keep = groups.groupBy("root").agg(F.min("first_id").alias("duplicate_of"))
