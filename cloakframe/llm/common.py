@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,8 +102,9 @@ def splitmix(h: np.ndarray) -> np.ndarray:
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+#: ASCII lower case of each byte.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
@@ -116,16 +118,17 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end byte of each word, and the first word of each row (one more for the end).
+def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and the first word of each row (one more for the end).
 
-    A word is a run of ASCII letters and digits (case folded) and of all bytes beyond ASCII; it
-    doesn't cross rows.
+    A word is a run of ASCII letters and digits and of all characters beyond ASCII, in lower case; it
+    doesn't cross rows. A null has none.
     """
+    data, offsets = buffers(pc.utf8_lower(col))
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, np.zeros(len(offsets), np.int64)
+        return z.astype(np.uint64), np.zeros(len(offsets), np.int64)
     is_word = _WORD[data]
     edge = np.zeros(n + 1, bool)
     edge[1:n] = is_word[1:] != is_word[:-1]
@@ -139,13 +142,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends = marks[0::2], marks[1::2]
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, np.zeros(len(offsets), np.int64)
+        return z.astype(np.uint64), np.zeros(len(offsets), np.int64)
     lens = ends - starts
     kept = data[is_word]
     first = np.zeros(len(lens), np.int64)
     np.cumsum(lens[:-1], out=first[1:])
     pos = np.arange(len(kept)) - np.repeat(first, lens)
-    value = _FOLD[kept].astype(np.uint64)
+    value = kept.astype(np.uint64)
     value += np.uint64(1)
     value *= powers(int(lens.max()) + 1)[pos]
-    return splitmix(np.add.reduceat(value, first)), starts, ends, np.searchsorted(starts, offsets)
+    return splitmix(np.add.reduceat(value, first)), np.searchsorted(starts, offsets)

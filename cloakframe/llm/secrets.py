@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import _FOLD, buffers, map_batches, table
+from cloakframe.llm.common import FOLD, buffers, map_batches, table
 
 #: name, expression. ASCII classes and no look-around: the same expressions run in the SQL check.
 RULES: list[tuple[str, str]] = [
@@ -192,7 +192,7 @@ class Scanner:
         """For each wanted trigram the ascending numbers of the texts that hold it."""
         if len(data) < 3:
             return {}
-        s = _FOLD[data].astype(np.uint32)
+        s = FOLD[data].astype(np.uint32)
         slot = self.slot[s[:-2] | s[1:-1] << 8 | s[2:] << 16]
         at = np.flatnonzero(slot)
         text = np.searchsorted(offsets, at, "right") - 1

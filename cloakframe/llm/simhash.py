@@ -42,7 +42,7 @@ def hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     data, offsets = buffers(col)
     n = len(offsets) - 1
-    h, _, _, first = words(data, offsets)
+    h, first = words(col)
     out = np.zeros(n, np.uint64)
     has = np.diff(offsets) > 0
     row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(first))

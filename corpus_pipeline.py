@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over `documents`, each one's rows written and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each one's rows written and read again by the next.
+
+Language identification drops texts of no known language, near-duplicate search keeps one document of
+each group, decontamination drops documents with test items, the secret scan blanks secrets, and the
+mixture takes documents by source until the budget is used up.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.llm.common import ensure_checkpoint_dir, table
+from cloakframe.llm.decontaminate import decontaminate
+from cloakframe.llm.langid import keep_languages
+from cloakframe.llm.mixing import mix
+from cloakframe.llm.secrets import redact
 from cloakframe.llm.simhash import dedup
 
 
-def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the columns stay as they are."""
+    return keep_languages(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the smallest doc_id."""
     return dedup(docs)
 
 
-STAGES = [("simhash_dedup", stage_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a test item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in them are replaced and n_chars follows."""
+    return redact(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that weighted fair queueing takes within the budget, with their columns."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("source_mixture", source_mixture),
+]
 
+#: The first two stages (suffix automata, SimHash) can't be put in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
