@@ -1,0 +1 @@
+"""Text privacy analytics on Spark: detection, surrogates, reversible state, and their evaluation."""
