@@ -1,0 +1,38 @@
+"""Tables that several queries start from."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: An evaluation drawn from `customer` by MD5 digits, in SQL that both engines read: each customer is a
+#: question with up to six key values; the stages find some, miss some, and find some that aren't there.
+_VALUES = " UNION ALL ".join(
+    f"SELECT c_custkey AS idx, '{t}' AS type, {v} AS value, substr(md5(c_name || '{t}'), 1, 1) AS a, substr(md5(c_name || '{t}'), 2, 1) AS b FROM customer"
+    for t, v in {
+        "PERSON": "c_name", "email": "'u' || CAST(c_custkey AS STRING) || '@Example.org'", "dob": "'1970-01-' || CAST(10 + c_nationkey AS STRING)", "GPE": "'City ' || CAST(c_nationkey AS STRING)",
+        "ORG": "c_mktsegment", "ssn": "'123-45-' || CAST(1000 + c_custkey % 9000 AS STRING)",
+    }.items()
+)
+EVAL_SQL = f"""vals AS ({_VALUES}),
+  keys AS (SELECT idx, type, value FROM vals WHERE a < 'a'),
+  stages AS (
+    SELECT idx, 'pattern' AS stage, value FROM vals WHERE type IN ('email', 'dob', 'ssn') AND b < 'e'
+    UNION ALL SELECT idx, 'ner', value FROM vals WHERE type IN ('PERSON', 'GPE', 'ORG') AND b < 'c'
+    UNION ALL SELECT idx, 'slm', value FROM vals WHERE type IN ('PERSON', 'ORG') AND b IN ('c', 'd')
+    UNION ALL SELECT idx, 'full', value FROM vals WHERE b < 'e'),
+  details AS (SELECT idx, type, value FROM vals WHERE b < 'e'),
+  found AS (SELECT idx, value FROM details),
+  kept AS (SELECT idx, value FROM vals WHERE type = 'GPE' AND b = '3'),
+  baseline AS (SELECT idx, value, CASE type WHEN 'PERSON' THEN 'PERSON' WHEN 'email' THEN 'EMAIL_ADDRESS' WHEN 'dob' THEN 'DATE_TIME' WHEN 'GPE' THEN 'LOCATION' WHEN 'ssn' THEN 'US_SSN' ELSE 'NRP' END AS type FROM vals WHERE b > '4'),
+  questions AS (SELECT c_custkey AS idx, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_acctbal AS DOUBLE) + c_nationkey - 11 AS y FROM customer)"""
+EVAL_TABLES = ("keys", "stages", "details", "found", "kept", "baseline", "questions")
+
+
+def evaluation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    source = table(spark, sf_dir, "customer")
+    return {t: spark.sql(f"WITH {EVAL_SQL.replace('FROM customer', 'FROM {source}')} SELECT * FROM {t}", source=source) for t in EVAL_TABLES}

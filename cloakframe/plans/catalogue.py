@@ -1,4 +1,4 @@
-"""Registered queries of the privacy engine, each with the SQL it must equal."""
+"""Registered queries of the privacy engine, each with the SQL it must equal where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from cloakframe.plans import detection, evaluation, rewriting
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | rewriting.QUERIES | evaluation.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | rewriting.ORACLE_SQL | evaluation.ORACLE_SQL
