@@ -39,7 +39,7 @@ class Engine:
         """
         spark = df.sparkSession
         rows = mask_rows(df, session, text, self.config)
-        found = rows.select(F.col(session).cast("string").alias("session"), F.explode("confirmed").alias("e")).select("session", "e.type", "e.text")
+        found = rows.select(F.col(session).cast("string").alias("session"), F.explode_outer("confirmed").alias("e")).filter("e IS NOT NULL").select("session", "e.type", "e.text")
         state = spark.createDataFrame([], states.STATE) if state is None else state
         pairs = surrogate_rows(found, "session", self.config, state)
         new = pairs.join(state.select("session", "original"), ["session", "original"], "left_anti")

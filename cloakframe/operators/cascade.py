@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.config import EngineConfig, expand_types
-from cloakframe.functions.spans import mask_spans, no_entities
+from cloakframe.functions.spans import mask_spans, no_entities, once
 from cloakframe.operators import scan as patterns
 from cloakframe.operators.passes import names_behind_addresses, structural_orgs, without_parts_of_names, without_topics
 from cloakframe.operators.recognizers import PLACES, Gazetteer, Nothing, Recognizer, guard, routed, trace
@@ -28,7 +28,7 @@ def cascade(df: DataFrame, text: str = "text", config: EngineConfig = EngineConf
 
     out = patterns.scan(df, text, "__pattern", skip=skip)
     out = out.withColumn("__masked", mask_spans(whole, F.col("__pattern")))
-    out = out.withColumn("__traced", trace(F.col("__masked"), F.col("__pattern"), recognizer))
+    out = out.withColumn("__traced", once(trace(F.col("__masked"), F.col("__pattern"), recognizer)))
     high, low = routed(F.col("__traced"), config)
     out = out.withColumns({"__high": free(high), "__low": free(low), "__hidden": F.filter(F.concat(high, low), lambda e: suppress & place(e))})
     if config.guard_enabled:
@@ -42,9 +42,9 @@ def cascade(df: DataFrame, text: str = "text", config: EngineConfig = EngineConf
     kept, topics = without_topics(F.col("__confirmed"), whole)
     kept_unsure, topics_unsure = without_topics(F.col("__unsure"), whole)
     out = out.withColumns({
-        "confirmed": F.when(suppress, F.col("__confirmed")).otherwise(kept),
-        "uncertain": F.when(suppress, F.col("__unsure")).otherwise(kept_unsure),
-        "skipped": F.when(suppress, F.col("__hidden")).otherwise(F.concat(topics, topics_unsure)),
+        "confirmed": once(F.when(suppress, F.col("__confirmed")).otherwise(kept)),
+        "uncertain": once(F.when(suppress, F.col("__unsure")).otherwise(kept_unsure)),
+        "skipped": once(F.when(suppress, F.col("__hidden")).otherwise(F.concat(topics, topics_unsure))),
     })
     out = out.withColumn("risks", risks(F.array_distinct(F.transform("confirmed", lambda e: e["type"]))))
     if off := expand_types(config.pii_off):

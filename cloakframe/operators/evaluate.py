@@ -156,13 +156,14 @@ def per_type(found: DataFrame, keys: DataFrame, detail: DataFrame, kept: DataFra
 
 
 def baseline_comparison(own: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Two tables of counts by type side by side, and a row "overall" with the ratios of the sums; a side that lacks a type is null."""
+    """Two tables of counts by type side by side, and a row "overall" with the ratios of the sums; a side that lacks a type has counts of 0 and no ratios."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         rolled = df.rollup("type").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("type", F.coalesce("type", F.lit("overall")))
         return _rounded(rolled.fillna(0, ["tp", "fp", "fn"])).select("type", *[F.col(c).alias(f"{name}_{c}") for c in ("tp", "fp", "fn", "precision", "recall", "f1")])
 
-    return side(own, "own").join(side(baseline, "baseline"), "type", "full_outer")
+    joined = side(own, "own").join(side(baseline, "baseline"), "type", "full_outer")
+    return joined.fillna(0, [f"{s}_{c}" for s in ("own", "baseline") for c in ("tp", "fp", "fn")])
 
 
 def baseline_counts(found: DataFrame, keys: DataFrame, idx: str = "idx") -> DataFrame:

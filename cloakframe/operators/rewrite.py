@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.config import EngineConfig
-from cloakframe.functions.spans import by_start, no_entities, overlap, redact, replace_pairs
+from cloakframe.functions.spans import by_start, no_entities, once, overlap, redact, replace_pairs
 from cloakframe.functions.surrogates import surrogate_sql
 from cloakframe.operators.cascade import best_by_text, cascade
 from cloakframe.operators.service import fuzz_addresses, is_service_query
@@ -42,8 +42,8 @@ def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig =
     out = df.withColumn("is_service", is_service_query(F.col(text)))
     out = out.withColumn("__fuzzed", F.when("is_service", fuzz_addresses(whole, F.col(session).cast("string"))).otherwise(F.struct(whole.alias("text"), F.array().cast(PAIRS).alias("pairs"))))
     out = out.withColumns({"__work": F.col("__fuzzed.text"), "fuzzed": F.col("__fuzzed.pairs")})
-    out = cascade(out, "__work", config, service="is_service", **stages).withColumn("confirmed", best_by_text(F.col("confirmed")))
-    out = out.withColumn("pairs", pairs_of("confirmed", f"`{session}`", known, config))
+    out = cascade(out, "__work", config, service="is_service", **stages).withColumn("confirmed", once(best_by_text(F.col("confirmed"))))
+    out = out.withColumn("pairs", once(pairs_of("confirmed", f"`{session}`", known, config)))
     every = F.concat(F.col(known), F.col("pairs")) if known else F.col("pairs")
     return out.withColumn("sanitized", F.when(F.col(text).isNotNull(), replace_pairs(F.col("__work"), every))).drop("__fuzzed", "__work")
 

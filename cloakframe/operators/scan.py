@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.patterns import BY_TYPE, PATTERNS, Pattern
-from cloakframe.functions.spans import as_entities, by_start, claim, find_spans, no_candidates
+from cloakframe.functions.spans import as_entities, by_start, claim, find_spans, no_candidates, once
 
 
 def is_skipped(matched: Column, skip: Column) -> Column:
@@ -42,7 +42,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "entities", types: tuple[
         found.append(own if p.type in ("email", "api_key", "gender_indicator", "us_driver_license", "crypto") else F.when(digits, own).otherwise(no_candidates()))
     staged = df.withColumn(tmp, F.concat(*found))
     claimed = F.when(F.size(tmp) > 0, by_start(as_entities(claim(F.col(tmp))))).otherwise(as_entities(no_candidates()))
-    return staged.withColumn(out, claimed).drop(tmp)
+    return staged.withColumn(out, once(claimed)).drop(tmp)
 
 
 def extract(df: DataFrame, type_: str, key: str, text: str = "text") -> DataFrame:
@@ -53,4 +53,5 @@ def extract(df: DataFrame, type_: str, key: str, text: str = "text") -> DataFram
 
 def explode_entities(df: DataFrame, key: str, entities: str = "entities") -> DataFrame:
     """One row for each entity, with its place in the array."""
-    return df.select(key, F.posexplode(entities).alias("ord", "e")).select(key, "ord", *[F.col(f"e.{f}").alias("stop" if f == "end" else f) for f in ("text", "start", "end", "type", "score", "source")])
+    # The outer form: for the inner one Catalyst infers a filter, and puts the whole detection into it.
+    return df.select(key, F.posexplode_outer(entities).alias("ord", "e")).filter("e IS NOT NULL").select(key, "ord", *[F.col(f"e.{f}").alias("stop" if f == "end" else f) for f in ("text", "start", "end", "type", "score", "source")])

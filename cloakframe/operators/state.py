@@ -36,23 +36,16 @@ def as_pairs(state: DataFrame) -> DataFrame:
 
 
 def sealed(state: DataFrame, secret: bytes) -> DataFrame:
-    """(session, sealed): nonce, ciphertext and tag of each session's pairs.
-
-    The secret enters the plan as a column of a one-row table, so `explain` doesn't print it.
-    """
-    rows = as_pairs(state).crossJoin(F.broadcast(_secret(state, secret)))
-    return rows.select("session", seal(F.encode(F.to_json("pairs"), "UTF-8"), derived_key(F.col("__secret"), F.col("session"))).alias("sealed"))
+    """(session, sealed): nonce, ciphertext and tag of each session's pairs."""
+    keyed = as_pairs(state).withColumn("__key", derived_key(secret, F.col("session")))
+    return keyed.select("session", seal(F.encode(F.to_json("pairs"), "UTF-8"), F.col("__key")).alias("sealed"))
 
 
 def unsealed(files: DataFrame, secret: bytes) -> DataFrame:
     """(session, pairs): no pairs where the data is missing, short, damaged or of another secret."""
-    rows = files.crossJoin(F.broadcast(_secret(files, secret)))
-    text = unseal(F.col("sealed"), derived_key(F.col("__secret"), F.col("session")))
-    return rows.select("session", F.coalesce(F.from_json(text, PAIRS), F.array().cast(PAIRS)).alias("pairs"))
-
-
-def _secret(df: DataFrame, secret: bytes) -> DataFrame:
-    return df.sparkSession.createDataFrame([(bytearray(secret),)], "__secret binary")
+    keyed = files.select("session", "sealed", derived_key(secret, F.col("session")).alias("__key"))
+    text = unseal(F.col("sealed"), F.col("__key"))
+    return keyed.select("session", F.coalesce(F.from_json(text, PAIRS), F.array().cast(PAIRS)).alias("pairs"))
 
 
 def mapping_counts(state: DataFrame) -> DataFrame:

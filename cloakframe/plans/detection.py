@@ -93,7 +93,7 @@ _COMBO_ROWS = ", ".join(f"({sql_text(n)}, '{level}', {least}, {len(fields)}, '{f
 def cascade_entities(spark: SparkSession, d: str) -> DataFrame:
     """The whole cascade over all conversation turns, one row for each confirmed entity."""
     rows = cascade(table(spark, d, "conversations"))
-    return rows.select("conv_id", "turn", F.posexplode("confirmed").alias("ord", "e")).select("conv_id", "turn", "ord", "e.*")
+    return rows.select("conv_id", "turn", F.posexplode_outer("confirmed").alias("ord", "e")).filter("e IS NOT NULL").select("conv_id", "turn", "ord", "e.*")
 
 
 def risk_warnings(spark: SparkSession, d: str) -> DataFrame:

@@ -128,7 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     "eval_macro": f"WITH {_PER_Q} SELECT count(*) AS questions, {', '.join(f'round(avg({c}), 4) AS {c}' for c in ('precision', 'recall', 'f1', 'accuracy', 'error'))} FROM s",
     "eval_micro": f"WITH {_PER_Q}, m AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM q) SELECT *, {_ROUNDED} FROM m",
     "eval_per_type": f"WITH {EVAL_SQL}, t AS ({_types_sql('details', 'found', 'kept')}) SELECT *, {_ROUNDED} FROM t WHERE tp + fp + fn > 0",
-    "eval_baseline_comparison": f"WITH {EVAL_SQL}, {_MAPPED} SELECT * FROM ({_side('own', _types_sql('details', 'found', 'kept'))}) FULL JOIN ({_side('baseline', 'SELECT * FROM (' + _types_sql('mapped', 'baseline', 'nothing') + ') WHERE type NOT IN (' + chr(39) + 'ORG' + chr(39) + ')')}) USING (type)",
+    "eval_baseline_comparison": f"WITH {EVAL_SQL}, {_MAPPED} SELECT * REPLACE ({', '.join(f'coalesce({x}_{c}, 0)::BIGINT AS {x}_{c}' for x in ('own', 'baseline') for c in ('tp', 'fp', 'fn'))}) FROM ({_side('own', _types_sql('details', 'found', 'kept'))}) FULL JOIN ({_side('baseline', 'SELECT * FROM (' + _types_sql('mapped', 'baseline', 'nothing') + ') WHERE type NOT IN (' + chr(39) + 'ORG' + chr(39) + ')')}) USING (type)",
     "eval_baseline_only": f"WITH {EVAL_SQL} SELECT type, count(*) AS n FROM baseline WHERE type = 'NRP' GROUP BY type",
     "eval_ablation": f"WITH {_FLAGS} SELECT * FROM abl",
     "eval_config_steps": f"""WITH {_FLAGS}, o AS (SELECT coalesce(type, 'overall') AS type, config, f1, list_position(['ps_only', 'ps_et', 'ps_cg', 'full'], config) AS o FROM abl)

@@ -72,9 +72,9 @@ def read_sealed(spark: SparkSession, path: str) -> DataFrame:
 
 def opened(files: DataFrame, secret: bytes) -> DataFrame:
     """(session, text): sealed files opened; data that doesn't open but is JSON text is taken as it stands; null otherwise."""
-    keyed = files.crossJoin(F.broadcast(files.sparkSession.createDataFrame([(bytearray(secret),)], "__secret binary")))
+    keyed = files.select("session", "sealed", derived_key(secret, F.col("session")).alias("__key"))
     plain = F.try_validate_utf8("sealed").cast("string")
-    return keyed.select("session", F.coalesce(unseal(F.col("sealed"), derived_key(F.col("__secret"), F.col("session"))), F.when(F.try_parse_json(plain).isNotNull(), plain)).alias("text"))
+    return keyed.select("session", F.coalesce(unseal(F.col("sealed"), F.col("__key")), F.when(F.try_parse_json(plain).isNotNull(), plain)).alias("text"))
 
 
 def summaries(texts: DataFrame) -> DataFrame:
