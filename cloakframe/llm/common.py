@@ -84,9 +84,18 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, drop_ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not in `drop_ids` (one column doc_id, no nulls); a null doc_id stays."""
-    return docs.join(drop_ids.select(F.col("doc_id").alias("__drop_id")), F.col("doc_id") == F.col("__drop_id"), "left_anti")
+    """Rows of `docs` whose doc_id is not in `drop_ids` (a column doc_id); a null doc_id stays."""
+    name = fresh(docs, "__drop_id")
+    return docs.join(drop_ids.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def splitmix(h: np.ndarray) -> np.ndarray:

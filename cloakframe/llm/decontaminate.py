@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpoint, map_batches, splitmix, table, words
+from cloakframe.llm.common import checkpoint, keep_rows, map_batches, splitmix, table, words
 
 #: Words of a seed, share of an item's n-grams that are seeds, and least score of a copy.
 NGRAM, SEED_SHARE, THRESHOLD = 3, 0.5, 0.5
@@ -134,8 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that hold no copy of a test item, with all their columns; a null doc_id stays."""
-    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    return keep_rows(docs, contaminated(docs, items, threshold).select("doc_id").distinct())
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpoint, table
+from cloakframe.llm.common import checkpoint, fresh, table
 
 #: Weights of the sources; one that isn't named has DEFAULT_WEIGHT, one of weight 0 is left out.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -87,11 +87,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Each queue is cut at one place, so only the last place of each source is joined with the texts.
     """
-    seed = options.get("seed", SEED)
-    cuts = mixture(docs, **options).groupBy(F.col("key").alias("__key")).agg(F.max("place").alias("__last"))
+    seed, key, last = options.get("seed", SEED), fresh(docs, "__key"), fresh(docs, "__last")
+    cuts = mixture(docs, **options).groupBy(F.col("key").alias(key)).agg(F.max("place").alias(last))
     n = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
     place = F.concat(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(":"), F.lpad(n.cast("string"), 12, "0"))
-    on = (F.coalesce(docs["source"], F.lit("")) == cuts["__key"]) & (place <= cuts["__last"])
+    on = (F.coalesce(F.col("source"), F.lit("")) == F.col(key)) & (place <= F.col(last))
     return docs.join(cuts, on, "left_semi")
 
 

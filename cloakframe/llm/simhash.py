@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import buffers, checkpoint, map_batches, splitmix, table, words
+from cloakframe.llm.common import buffers, checkpoint, fresh, keep_rows, map_batches, splitmix, table, words
 from cloakframe.llm.components import components
 
 RADIUS = 10
@@ -164,7 +164,8 @@ def allot(atoms: list[np.ndarray], n: int, radius: int = RADIUS) -> list[tuple[i
 
     best[a][s]: least cost of covering the first a atoms with sum(t + 1) = s.
     """
-    count, need = len(atoms), radius + 1
+    # No hashes at all would make every plan free, those with millions of flips included.
+    n, count, need = max(n, 1), len(atoms), radius + 1
     best = [[np.inf] * (need + 1) for _ in range(count + 1)]
     back: list[list[tuple | None]] = [[None] * (need + 1) for _ in range(count + 1)]
     best[0][0] = 0.0
@@ -338,10 +339,11 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows that take no part in the search (null doc_id, no text) stay as they are. All columns are kept.
     """
-    kept = docs.join(duplicates(docs, radius).select(F.col("doc_id").alias("__dup")), F.col("doc_id") == F.col("__dup"), "left_anti")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__rep"))
-    once = kept.join(repeated, F.col("doc_id") == F.col("__rep"), "left_anti")
-    again = kept.join(repeated, F.col("doc_id") == F.col("__rep"), "left_semi").dropDuplicates(["doc_id"])
+    kept = keep_rows(docs, duplicates(docs, radius))
+    rep = fresh(docs, "__rep")
+    repeated = docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(rep))
+    once = kept.join(repeated, F.col("doc_id") == F.col(rep), "left_anti")
+    again = kept.join(repeated, F.col("doc_id") == F.col(rep), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again)
 
 
