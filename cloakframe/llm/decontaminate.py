@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items are counted over the whole corpus. The rarer half of each item's
-n-grams are its seeds (ties included). Training passages that share a seed with an item are aligned
+Word n-grams of the test items are counted over the whole corpus. Of each item's n-grams that occur
+there, the rarer half are its seeds (ties included). Training passages that share a seed with an item are aligned
 with it, word by word; the score is that of the best local alignment over the one that a verbatim copy
 would get, so edited, shortened and paraphrased copies score in between.
 """
@@ -84,10 +84,13 @@ def regions(starts: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
 
 
 def seeds(items: DataFrame, hits: DataFrame) -> DataFrame:
-    """(item_id, gram, n_words): the rarer half of each item's n-grams by the documents that hold them."""
+    """(item_id, gram, n_words): the rarer half of those of each item's n-grams that some document holds.
+
+    N-grams that occur nowhere, as where all copies are edited, can't lead to a copy and aren't ranked.
+    """
     own = gram_rows(items, "item_id").select("item_id", "gram", "n_words").distinct()
     df = hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("df"))
-    ranked = own.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ranked = own.join(df, "gram")
     by_item = Window.partitionBy("item_id")
     ranked = ranked.withColumn("r", F.rank().over(by_item.orderBy("df"))).withColumn("n", F.count("*").over(by_item))
     return ranked.filter(F.col("r") <= F.ceil(F.col("n") * SEED_SHARE)).select("item_id", "gram", "n_words")
