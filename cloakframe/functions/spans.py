@@ -55,9 +55,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def once(value: Column) -> Column:
     """A column that filters above don't take apart.
 
-    Catalyst moves a filter below a projection by putting the column's whole expression into it, which here
-    would run all patterns twice, and multiplies the size of chained steps. A condition that always
-    holds but isn't deterministic stops that. Filters on other columns belong before the step.
+    Catalyst moves a filter below a projection by putting the column's whole expression into it, and keeps
+    such an expression as a constraint that every step above multiplies; here that would run all patterns twice and
+    take minutes to plan. A condition that always holds but isn't deterministic stops both. Filters on other columns belong
+    before the step.
     """
     return F.when(F.rand(0) >= 0, value)
 

@@ -27,18 +27,18 @@ def cascade(df: DataFrame, text: str = "text", config: EngineConfig = EngineConf
     free = lambda xs: F.filter(xs, lambda e: ~(suppress & place(e)))
 
     out = patterns.scan(df, text, "__pattern", skip=skip)
-    out = out.withColumn("__masked", mask_spans(whole, F.col("__pattern")))
+    out = out.withColumn("__masked", once(mask_spans(whole, F.col("__pattern"))))
     out = out.withColumn("__traced", once(trace(F.col("__masked"), F.col("__pattern"), recognizer)))
     high, low = routed(F.col("__traced"), config)
-    out = out.withColumns({"__high": free(high), "__low": free(low), "__hidden": F.filter(F.concat(high, low), lambda e: suppress & place(e))})
+    out = out.withColumns({"__high": once(free(high)), "__low": once(free(low)), "__hidden": once(F.filter(F.concat(high, low), lambda e: suppress & place(e)))})
     if config.guard_enabled:
         sure, unsure = guard(mask_spans(F.col("__masked"), F.col("__high")), F.col("__low"), second, config)
     else:
         sure, unsure = F.filter("__low", lambda e: e["score"] >= config.fallback_threshold), no_entities()
-    out = out.withColumns({"__confirmed": F.concat("__pattern", "__high", free(sure)), "__unsure": free(unsure)})
-    out = out.withColumn("__confirmed", F.concat("__confirmed", structural_orgs(whole, F.col("__confirmed"))))
+    out = out.withColumns({"__confirmed": once(F.concat("__pattern", "__high", free(sure))), "__unsure": once(free(unsure))})
+    out = out.withColumn("__confirmed", once(F.concat("__confirmed", structural_orgs(whole, F.col("__confirmed")))))
     for c in ("__confirmed", "__unsure"):
-        out = out.withColumn(c, without_parts_of_names(names_behind_addresses(F.col(c))))
+        out = out.withColumn(c, once(without_parts_of_names(names_behind_addresses(F.col(c)))))
     kept, topics = without_topics(F.col("__confirmed"), whole)
     kept_unsure, topics_unsure = without_topics(F.col("__unsure"), whole)
     out = out.withColumns({
@@ -46,7 +46,7 @@ def cascade(df: DataFrame, text: str = "text", config: EngineConfig = EngineConf
         "uncertain": once(F.when(suppress, F.col("__unsure")).otherwise(kept_unsure)),
         "skipped": once(F.when(suppress, F.col("__hidden")).otherwise(F.concat(topics, topics_unsure))),
     })
-    out = out.withColumn("risks", risks(F.array_distinct(F.transform("confirmed", lambda e: e["type"]))))
+    out = out.withColumn("risks", once(risks(F.array_distinct(F.transform("confirmed", lambda e: e["type"])))))
     if off := expand_types(config.pii_off):
         out = out.withColumns({c: F.filter(c, lambda e: ~e["type"].isin(*off)) for c in ("confirmed", "uncertain")})
     return out.drop("__pattern", "__masked", "__traced", "__high", "__low", "__hidden", "__confirmed", "__unsure")

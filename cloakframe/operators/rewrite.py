@@ -39,13 +39,13 @@ def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig =
     settles those. Null texts stay null.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("is_service", is_service_query(F.col(text)))
-    out = out.withColumn("__fuzzed", F.when("is_service", fuzz_addresses(whole, F.col(session).cast("string"))).otherwise(F.struct(whole.alias("text"), F.array().cast(PAIRS).alias("pairs"))))
+    out = df.withColumn("is_service", once(is_service_query(F.col(text))))
+    out = out.withColumn("__fuzzed", once(F.when(F.col("is_service"), fuzz_addresses(whole, F.col(session).cast("string"))).otherwise(F.struct(whole.alias("text"), F.array().cast(PAIRS).alias("pairs")))))
     out = out.withColumns({"__work": F.col("__fuzzed.text"), "fuzzed": F.col("__fuzzed.pairs")})
     out = cascade(out, "__work", config, service="is_service", **stages).withColumn("confirmed", once(best_by_text(F.col("confirmed"))))
     out = out.withColumn("pairs", once(pairs_of("confirmed", f"`{session}`", known, config)))
     every = F.concat(F.col(known), F.col("pairs")) if known else F.col("pairs")
-    return out.withColumn("sanitized", F.when(F.col(text).isNotNull(), replace_pairs(F.col("__work"), every))).drop("__fuzzed", "__work")
+    return out.withColumn("sanitized", once(F.when(F.col(text).isNotNull(), replace_pairs(F.col("__work"), every)))).drop("__fuzzed", "__work")
 
 
 def surrogate_rows(entities: DataFrame, session: str, config: EngineConfig = EngineConfig(), known: DataFrame | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "entities", types: tuple[
     for p in patterns:
         own = candidates(whole, p, skipped)
         found.append(own if p.type in ("email", "api_key", "gender_indicator", "us_driver_license", "crypto") else F.when(digits, own).otherwise(no_candidates()))
-    staged = df.withColumn(tmp, F.concat(*found))
+    staged = df.withColumn(tmp, once(F.concat(*found)))
     claimed = F.when(F.size(tmp) > 0, by_start(as_entities(claim(F.col(tmp))))).otherwise(as_entities(no_candidates()))
     return staged.withColumn(out, once(claimed)).drop(tmp)
 

@@ -98,7 +98,7 @@ def cascade_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def risk_warnings(spark: SparkSession, d: str) -> DataFrame:
     rows = cascade(table(spark, d, "documents"))
-    return rows.filter(F.size("risks") > 0).select("doc_id", warning(F.col("risks")).alias("warning"))
+    return rows.select("doc_id", F.size("risks").alias("n_risks"), warning(F.col("risks")).alias("warning"))
 
 
 def service_query_flag(spark: SparkSession, d: str) -> DataFrame:

@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.api import Engine
 from cloakframe.functions.spans import replace_pairs, restore_pairs
 from cloakframe.functions.surrogates import surrogate_duck
 from cloakframe.operators import rag, scan, state
-from cloakframe.operators.batch import run_batch
 from cloakframe.operators.resolve import failure_summary, resolve
 from cloakframe.operators.rewrite import ATTEMPTS, pairs_of, redacted, surrogate_rows
 from cloakframe.plans.base import table
@@ -91,17 +89,6 @@ def conversation_summary(spark: SparkSession, d: str) -> DataFrame:
     return state.conversation_summary(table(spark, d, "conversations"))
 
 
-def session_mask(spark: SparkSession, d: str) -> DataFrame:
-    """All turns of all conversations, one map for each conversation."""
-    return Engine().mask(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id")[0]
-
-
-def batch_run(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark text as a question, with all fields."""
-    out = run_batch(table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("input")))
-    return out.select("idx", "confirmed_pii", F.map_keys("surrogate_map").alias("originals"), "sanitized_input", "final_output")
-
-
 def reply_texts(spark: SparkSession, d: str) -> DataFrame:
     """Turns wrapped as replies of three kinds of services, and taken out again."""
     t = F.col("text")
@@ -118,11 +105,6 @@ def context_prompts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", rag.context_prompt(rag.chunks(F.col("text"))).alias("prompt"))
 
 
-def rag_index(spark: SparkSession, d: str) -> DataFrame:
-    """Anonymised chunks of all benchmark texts."""
-    return rag.anonymised_chunks(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
-
-
 def _centroids(vectors: DataFrame) -> DataFrame:
     """The mean vector of each label, by positions."""
     sums = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -137,8 +119,8 @@ def rag_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "surrogate_map": surrogate_map, "masked_text": masked_text, "redacted_text": redacted_text, "unmask_roundtrip": unmask_roundtrip, "resolve_replies": resolve_replies, "resolve_failures": resolve_failures,
-    "customer_mask": customer_mask, "shadow_state_by_session": shadow_state, "aes_roundtrip": aes_roundtrip, "conversation_summary": conversation_summary, "session_mask": session_mask, "batch_run": batch_run,
-    "reply_texts": reply_texts, "chunk_documents": chunk_documents, "context_prompts": context_prompts, "rag_index": rag_index, "rag_topk_cosine": rag_topk_cosine,
+    "customer_mask": customer_mask, "shadow_state_by_session": shadow_state, "aes_roundtrip": aes_roundtrip, "conversation_summary": conversation_summary, 
+    "reply_texts": reply_texts, "chunk_documents": chunk_documents, "context_prompts": context_prompts, "rag_topk_cosine": rag_topk_cosine,
 }
 
 _PAIRS = f"SELECT DISTINCT doc_id, type, trim(value) AS original FROM ({SPANS_SQL})"
