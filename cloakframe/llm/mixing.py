@@ -24,6 +24,8 @@ BUDGET_SHARE = 0.5
 SEED = "mix-1"
 #: Hash ranges of a queue (hex digits of the hash) and ranges of finish times.
 HASH_DIGITS, TIME_RANGES = 3, 65_536
+#: Sources whose places are sent to every task (about 100 bytes each).
+MOST_SOURCES = 100_000
 
 TOKEN = r"[^ \t\n\r]+"
 
@@ -85,10 +87,15 @@ def sorted_mixture(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the mixture takes, with all their columns.
 
-    Each queue is cut at one place, so only the last place of each source is joined with the texts.
+    Each queue is cut at one place, so only the last place of each source is joined with the texts. Up to
+    MOST_SOURCES sources the places are sent to every task, so that no text is shuffled and a large source isn't one
+    task; beyond, both sides are shuffled by source.
     """
     seed, key, last = options.get("seed", SEED), fresh(docs, "__key"), fresh(docs, "__last")
     cuts = mixture(docs, **options).groupBy(F.col("key").alias(key)).agg(F.max("place").alias(last))
+    cuts = checkpoint(cuts)
+    if cuts.count() <= MOST_SOURCES:
+        cuts = F.broadcast(cuts)
     n = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
     place = F.concat(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(":"), F.lpad(n.cast("string"), 12, "0"))
     on = (F.coalesce(F.col("source"), F.lit("")) == F.col(key)) & (place <= F.col(last))
