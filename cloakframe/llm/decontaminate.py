@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items are counted over the whole corpus. Of each item's n-grams that occur
-there, the rarer half are its seeds (ties included). Training passages that share a seed with an item are aligned
-with it, word by word; the score is that of the best local alignment over the one that a verbatim copy
+All word n-grams of the test items are seeds, however many documents hold them: copies themselves make
+the n-grams that survive an edit frequent. Training passages that share a seed with an item, and enough
+of its words for a copy, are aligned with it, word by word; the score is that of the best local alignment over the one that a verbatim copy
 would get, so edited, shortened and paraphrased copies score in between.
 """
 
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import checkpoint, keep_rows, map_batches, splitmix, table, words
 
-#: Words of a seed, share of an item's n-grams that are seeds, and least score of a copy.
-NGRAM, SEED_SHARE, THRESHOLD = 3, 0.5, 0.5
+#: Words of a seed, and least score of a copy.
+NGRAM, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words on either side of a seed that are aligned, as a multiple of the item's words.
 MARGIN = 1.5
@@ -71,6 +71,14 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def shared(item: np.ndarray, text: np.ndarray) -> int:
+    """Words of `item` that `text` holds, each as often as both have it: no alignment matches more."""
+    words_, n = np.unique(item, return_counts=True)
+    at = np.searchsorted(words_, text)
+    at[at == len(words_)] = 0
+    return int(np.minimum(n, np.bincount(at[words_[at] == text], minlength=len(words_))).sum()) if len(words_) else 0
+
+
 def regions(starts: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     """The stretches of words within `reach` of a seed, overlapping ones as one."""
     out: list[list[int]] = []
@@ -83,19 +91,6 @@ def regions(starts: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def seeds(items: DataFrame, hits: DataFrame) -> DataFrame:
-    """(item_id, gram, n_words): the rarer half of those of each item's n-grams that some document holds.
-
-    N-grams that occur nowhere, as where all copies are edited, can't lead to a copy and aren't ranked.
-    """
-    own = gram_rows(items, "item_id").select("item_id", "gram", "n_words").distinct()
-    df = hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("df"))
-    ranked = own.join(df, "gram")
-    by_item = Window.partitionBy("item_id")
-    ranked = ranked.withColumn("r", F.rank().over(by_item.orderBy("df"))).withColumn("n", F.count("*").over(by_item))
-    return ranked.filter(F.col("r") <= F.ceil(F.col("n") * SEED_SHARE)).select("item_id", "gram", "n_words")
-
-
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score): documents that hold a copy of a test item, with the best score.
 
@@ -113,7 +108,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     else:
         hits = gram_rows(docs, "doc_id").join(item_grams, "gram", "left_semi")
     hits = checkpoint(hits.select("doc_id", "gram", "word"))
-    found = hits.join(seeds(items, hits), "gram").groupBy("doc_id", "item_id").agg(F.collect_set("word").alias("at"))
+    seeds = gram_rows(items, "item_id").select("item_id", "gram").distinct()
+    found = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.collect_set("word").alias("at"))
     texts = items.filter("item_id is not null and text is not null").select("item_id", F.col("text").alias("item"))
     wanted = found.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "at")).alias("wanted"))
     pairs = docs.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "wanted")
@@ -125,7 +121,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             own = h[first[i] : first[i + 1]]
             for x in wanted:
                 item = words(pa.array([x["item"]]))[0]
-                best = max((align(item, own[a:b]) for a, b in regions(np.array(x["at"]), int(len(item) * MARGIN) + 1, len(own))), default=0)
+                parts = [own[a:b] for a, b in regions(np.array(x["at"]), int(len(item) * MARGIN) + 1, len(own))]
+                best = max((align(item, part) for part in parts if shared(item, part) >= threshold * len(item)), default=0)
                 score = best / (MATCH * max(1, len(item)))
                 if score >= threshold:
                     out.append((doc, x["item_id"], score))

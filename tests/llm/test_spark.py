@@ -152,6 +152,23 @@ def test_contamination_against_full_alignment(exam):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_edited_copies_beside_verbatim_ones_are_found(spark):
+    """The n-grams that survive an edit are those that the verbatim copy makes frequent."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 40)) for i in range(30)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        for k in rng.sample(range(len(w)), int((0.15, 0.2, 0.25)[i % 3] * len(w))):
+            w[k] = "changed"
+        texts += [t, prose(rng, 20) + " " + " ".join(w) + " " + prose(rng, 20)]
+    docs, exam = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got, want = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, exam).collect()}, brute_scores(docs, exam)
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    edited = {k for k in want if k[0] % 2}
+    assert len(edited) >= 25 and len(edited & set(got)) >= 0.9 * len(edited)
+
+
 def test_large_item_sets_go_through_a_join(exam, monkeypatch):
     want = rows(decontaminate.contaminated(*exam))
     monkeypatch.setattr(decontaminate, "SIFT_GRAMS", 0)
