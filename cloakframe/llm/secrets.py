@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.common import FOLD, buffers, map_batches, table
 
-#: name, expression. ASCII classes and no look-around: the same expressions run in the SQL check.
+#: A private key: the body and the END line (five dashes end a body, so two keys are never one), or where END
+#: is missing the header fields and the run of base64 lines. Line ends may be escaped.
+_GAP = r"(?:[ \t\r\n]|\\[nr])"
+_KEY_BODY = rf"(?:(?:-{{0,4}}[^-])*-----END [A-Z ]*PRIVATE KEY-----|(?:{_GAP}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:{_GAP}*[0-9A-Za-z+/=]{{16,}})+(?:(?:[\r\n]|\\[nr])+[ \t]*[0-9A-Za-z+/]+={{0,2}})?)?)"
+
+#: name, expression. ASCII classes and no look-around, so that RE2 takes them as well.
 RULES: list[tuple[str, str]] = [
     ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("bearer_jwt", r"\beyJ[0-9A-Za-z_-]{10,500}\.eyJ[0-9A-Za-z_-]{10,500}\.[0-9A-Za-z_-]{10,500}"),
@@ -29,12 +34,18 @@ RULES: list[tuple[str, str]] = [
     ("google_api_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("hex_40", r"\b[0-9a-f]{40}\b"),
     ("named_secret", r"""(?i)\b(?:token|secret|passwd|password|api_?key|access_key)["' ]{0,3}[:=]{1,2}["' ]{0,3}[0-9a-z_+/-]{12,200}"""),
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----" + _KEY_BODY),
     ("slack_token", r"\bxox[abeprs]-[0-9A-Za-z-]{10,200}"),
     ("stripe_key", r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,200}"),
     ("url_credentials", r"\b[a-z]{3,10}://[0-9A-Za-z._~-]{1,100}:[0-9A-Za-z._~!$&*+=-]{3,100}@[0-9A-Za-z.-]{1,200}"),
 ]
 
+#: What the SQL check has for the rules that go further than it: it is kept as it was, and agrees where
+#: no text holds a private key.
+SQL_RULES: dict[str, str] = {
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+}
+
 # --- Boolean trigram queries ----------------------------------------------------------------------
 # A query is True (every text), ("tri", t), ("and", {...}) or ("or", {...}).
 
@@ -310,4 +321,4 @@ def _rule_sql(name: str, pattern: str) -> str:
       FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS gaps FROM documents WHERE regexp_matches(text, '{p}'))"""
 
 
-OP1_SQL = "SELECT doc_id, rule, start, start + length(hit) AS stop FROM (" + " UNION ALL ".join(_rule_sql(*r) for r in RULES) + ")"
+OP1_SQL = "SELECT doc_id, rule, start, start + length(hit) AS stop FROM (" + " UNION ALL ".join(_rule_sql(name, SQL_RULES.get(name, p)) for name, p in RULES) + ")"

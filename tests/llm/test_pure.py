@@ -20,6 +20,21 @@ def brute_secrets(texts, rules):
     return sorted((i, name, m.start(), m.end()) for i, t in enumerate(texts) for name, p in rules for m in re.compile(p, re.ASCII).finditer(t or ""))
 
 
+def redacted(text):
+    found = secrets.scanner(secrets.RULES).scan(pa.array([text]))
+    return secrets._without(text, sorted((a, b) for _, _, a, b in found))
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\\n"])
+@pytest.mark.parametrize("end", [True, False])
+@pytest.mark.parametrize("fields", ["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"])
+def test_no_key_body_is_left(newline, end, fields):
+    rng = random.Random(4)
+    body = ["".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(n)) for n in (64, 64, 64, 20)] + ["Zz9="]
+    key = ("-----BEGIN RSA PRIVATE KEY-----\n" + fields + "\n".join(body) + ("\n-----END RSA PRIVATE KEY-----" if end else "")).replace("\n", newline)
+    assert redacted(f"before {key}\n\n- after it. {key}\n\n(end)") == "before [SECRET]\n\n- after it. [SECRET]\n\n(end)"
+
+
 def test_secret_scan_equals_a_full_scan():
     rng = random.Random(1)
     planted = ["AKIA" + "A1" * 8, "ghp_" + "x" * 36, "PASSWORD = 'abcdefghijkl0'", "a" * 39 + "b", "-----BEGIN RSA PRIVATE KEY-----", "sk_live_" + "9" * 20, "https://u:pw12@h.org", "xoxb-" + "1" * 12, "AIza" + "_" * 35, "Token: é" + "z" * 12]
