@@ -35,6 +35,14 @@ def test_no_key_body_is_left(newline, end, fields):
     assert redacted(f"before {key}\n\n- after it. {key}\n\n(end)") == "before [SECRET]\n\n- after it. [SECRET]\n\n(end)"
 
 
+@pytest.mark.parametrize("secret", [
+    "eyJ" + "a" * 700 + ".eyJ" + "b" * 2000 + "." + "c" * 900, "password=" + "d" * 300, "xoxb-" + "1" * 300, "sk_live_" + "9" * 300,
+    "https://" + "u" * 150 + ":" + "p" * 150 + "@" + "h" * 250 + ".org", "elasticsearch://user:pw12@host",
+])
+def test_long_secrets_are_whole(secret):
+    assert redacted(f"a {secret} z") == "a [SECRET] z"
+
+
 def test_secret_scan_equals_a_full_scan():
     rng = random.Random(1)
     planted = ["AKIA" + "A1" * 8, "ghp_" + "x" * 36, "PASSWORD = 'abcdefghijkl0'", "a" * 39 + "b", "-----BEGIN RSA PRIVATE KEY-----", "sk_live_" + "9" * 20, "https://u:pw12@h.org", "xoxb-" + "1" * 12, "AIza" + "_" * 35, "Token: é" + "z" * 12]
