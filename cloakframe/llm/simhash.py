@@ -7,7 +7,8 @@ t_i with sum(t_i + 1) = radius + 1: two hashes within the radius then differ in
 some partition. Widths and thresholds come from a dynamic programme over estimated candidate
 counts, so a larger corpus gets wider partitions. Each hash is a probe for all the values within
 ceil(t_i / 2) flips of its own in partition i, so hashes within t_i meet at a value; those that meet
-are verified by their whole hashes. The search is exact for the hashes.
+are verified by their whole hashes. The search is exact for the hashes. Pairs that it finds are compared
+by their words, and a document goes only if it matches one that stays.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import buffers, checkpoint, fresh, keep_rows, map_batches, splitmix, table, words
-from cloakframe.llm.components import components
 
 RADIUS = 10
+#: Least Jaccard index of the words of two texts that match.
+SHARE = 0.5
 BITS = 64
 #: Bits of one atom; a partition is a run of atoms.
 ATOM = 8
@@ -315,23 +317,86 @@ def planned(sigs: DataFrame) -> DataFrame:
     return sigs.select("doc_id", "sig").mapInArrow(run, "doc_id long, psig long")
 
 
+def word_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, bag, words): hashes of each text's distinct words in ascending order, and one of the set.
+
+    A text without words has its bytes as its one word.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = buffers(batch.column("text"))
+        h, first = words(batch.column("text"))
+        sets = [np.unique(h[first[i] : first[i + 1]]) if first[i] < first[i + 1] else np.array([hash_bytes(data[offsets[i] : offsets[i + 1]])], np.uint64) for i in range(batch.num_rows)]
+        bag = np.array([splitmix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
+        ends = np.cumsum([0, *map(len, sets)])
+        flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+        out = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(bag.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "bag", "words"])
+        return out.filter(pa.array(np.diff(offsets) > 0))
+
+    return map_batches(docs.filter("doc_id is not null and text is not null"), ["doc_id", "text"], run, "doc_id long, bag long, words array<long>", "text")
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """The rows (a, b) of `pairs` whose sets a_words and b_words have a Jaccard index of SHARE or more."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= SHARE * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("a", "b", "a_words", "b_words").mapInArrow(run, "a struct<id:long,bag:long>, b struct<id:long,bag:long>")
+
+
+def leaders(edges: DataFrame) -> DataFrame:
+    """(b, a): nodes that go, each with the least of its neighbours that stay.
+
+    Nodes are taken in ascending order and stay unless a neighbour before them does. In each round, nodes
+    without an open neighbour before them stay, and their neighbours go.
+    """
+    out, left = None, checkpoint(edges)
+    while not left.isEmpty():
+        later = left.select(F.col("b").alias("n")).distinct()
+        stay = left.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti")
+        gone = left.join(stay, left.a == stay.n, "left_semi").groupBy("b").agg(F.min("a").alias("a"))
+        gone = checkpoint(gone)
+        out = gone if out is None else out.unionByName(gone)
+        done = gone.select(F.col("b").alias("n")).unionByName(stay).distinct()
+        left = checkpoint(left.join(done, left.a == done.n, "left_anti").join(done, F.col("b") == done.n, "left_anti"))
+    return edges.select("b", "a").limit(0) if out is None else out
+
+
 def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, duplicate_of): each document that repeats another, with the one of its group that stays.
+    """(doc_id, duplicate_of): each document that repeats another, with the one that stays.
 
-    Groups are the connected components of pairs within `radius`; the smallest doc_id stays. Rows with
+    Two texts match if their hashes are within `radius` and the Jaccard index of their words is SHARE or
+    more. In the order of doc_id, a document stays unless it matches one that stays. Rows with
     a null doc_id or a null or empty text take no part. Repeated rows of one doc_id count once. Texts
     without words are compared by their bytes. Columns besides doc_id and text are not read. An empty
     table gives an empty result.
     """
     sigs = checkpoint(signatures(docs))
     per_doc = checkpoint(planned(sigs))
-    own = per_doc.groupBy("psig").agg(F.min("doc_id").alias("first_id"))
-    own = checkpoint(own)
-    pairs = near_pairs(own.select("psig"), radius, forest=True)
-    roots = components(pairs)
-    groups = own.join(roots, own.psig == roots.node, "left").select("psig", "first_id", F.coalesce("root", "psig").alias("root"))
-    keep = groups.groupBy("root").agg(F.min("first_id").alias("duplicate_of"))
-    return per_doc.join(groups.select("psig", "root"), "psig").join(keep, "root").filter(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of").distinct()
+    sets = word_sets(docs)
+    # Texts of the same words are one node, named by its least doc_id.
+    bags = checkpoint(sets.select("doc_id", "bag").distinct())
+    first = bags.groupBy("bag").agg(F.min("doc_id").alias("id"))
+    nodes = checkpoint(first.join(per_doc.distinct(), first.id == per_doc.doc_id).select("psig", F.struct("id", "bag").alias("node")))
+    pairs = near_pairs(nodes.select("psig").distinct(), radius)
+    ends = nodes.select(F.col("psig").alias("u"), F.col("node").alias("x"))
+    others = nodes.select(F.col("psig").alias("v"), F.col("node").alias("y"))
+    apart = pairs.join(ends, "u").join(others, "v").select("x", "y")
+    same = ends.join(others, (F.col("u") == F.col("v")) & (F.col("x") < F.col("y"))).select("x", "y")
+    met = checkpoint(apart.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
+    asked = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node.id").alias("doc_id"), F.col("node.bag").alias("bag"))
+    asked = checkpoint(sets.join(asked, ["doc_id", "bag"]).dropDuplicates(["doc_id", "bag"]).select("node", "words"))
+    held = met.join(asked.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a").join(asked.select(F.col("node").alias("b"), F.col("words").alias("b_words")), "b")
+    gone = leaders(alike(held)).select(F.col("b.bag").alias("bag"), F.col("a.id").alias("kept"))
+    owner = bags.join(first, "bag").join(gone, "bag", "left").select("doc_id", F.coalesce("kept", "id").alias("duplicate_of"))
+    return owner.filter(F.col("doc_id") != F.col("duplicate_of")).distinct()
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -84,6 +84,23 @@ def test_dedup_keeps_one_of_each_group(docs, none):
     assert simhash.duplicates(none).count() == 0 and simhash.dedup(none).count() == 0
 
 
+def test_only_documents_that_match_go(spark):
+    """Hashes that meet by chance, and chains of matches, drop nothing that no kept document matches."""
+    rng = random.Random(5)
+    texts = [prose(rng, 40) for _ in range(60)]
+    w = [f"c{i}" for i in range(120)]
+    texts += [" ".join(w[i : i + 60]) for i in (0, 15, 30, 45, 60)] + [texts[0] + " more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bag, (sig, _) = [set(t.split()) for t in texts], simhash.hashes(pa.array(texts))
+    near = lambda a, b: (int(sig[a]) ^ int(sig[b])).bit_count() <= 24 and len(bag[a] & bag[b]) >= 0.5 * len(bag[a] | bag[b])
+    kept, want = [], set()
+    for i in range(len(texts)):
+        match = [k for k in kept if near(k, i)]
+        want |= {(i, match[0])} if match else set()
+        kept += [] if match else [i]
+    assert {tuple(r) for r in simhash.duplicates(df, 24).collect()} == want and len(want) < 6
+
+
 @pytest.mark.parametrize("radius", [3, 7, 10])
 def test_near_pairs_are_exact(spark, radius):
     rng = np.random.default_rng(radius)
