@@ -19,6 +19,8 @@ CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 SEEK, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 TOP = {INFO, TRACKS, CLUSTER, CUES, SEEK, TAGS, CHAPTERS, ATTACHMENTS}
+#: Numbers and times beyond this are damage.
+MOST = (1 << 63) - 1
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
 #: track, codec, timestamp in ns, keyframe, lacing, first byte, bytes, and whether a cue leads to it.
@@ -51,7 +53,11 @@ def read_size(data: bytes, at: int, end: int) -> tuple[int | None, int]:
 
 
 def _number(data: bytes, a: int, b: int) -> int:
-    return int.from_bytes(data[a:b])
+    """An unsigned number of at most 63 bits; no time, track or duration needs more."""
+    value = int.from_bytes(data[a:b]) if b - a <= 8 else MOST + 1
+    if value > MOST:
+        raise Broken("number")
+    return value
 
 
 class Parser:
@@ -106,7 +112,10 @@ class Parser:
         out = []
         for track, time, key, lacing, lace, at, size, cluster in self.packets:
             codec, step = self.tracks.get(track, (None, 0))
-            out.append((track, codec, time * self.scale + lace * step, key, lacing, at, size, (time, track, cluster) in self.cues))
+            ns = time * self.scale + lace * step
+            if not -MOST <= ns <= MOST:
+                break
+            out.append((track, codec, ns, key, lacing, at, size, (time, track, cluster) in self.cues))
         return out
 
     def top(self, name: int, at: int, a: int, b: int) -> None:
@@ -131,7 +140,7 @@ class Parser:
                         if n == CUE_TIME:
                             time = _number(self.data, e, f)
                         elif n == POSITIONS:
-                            own = {m: _number(self.data, g, h) for m, _, g, h in self.children(e, f) if h - g <= 8}
+                            own = {m: _number(self.data, g, h) for m, _, g, h in self.children(e, f) if m in (CUE_TRACK, CUE_CLUSTER)}
                             self.cues.add((time, own.get(CUE_TRACK, 0), self.segment + own.get(CUE_CLUSTER, 0)))
 
     def cluster(self, at: int, a: int, b: int) -> None:
@@ -279,10 +288,10 @@ def packets(files: DataFrame) -> DataFrame:
 
     `packet` counts the frames of a file from 0, start and size are the frame's byte range in it. A
     laced frame's time is its block's plus its place in the lace times the track's default duration (0
-    without one). A track that isn't described has a null codec. `cued` tells whether a cue has the time, track
+    without one). A track that isn't described has a null codec. Numbers and times beyond 63 bits are damage. `cued` tells whether a cue has the time, track
     and cluster of the frame's block. Null, empty and foreign data have no packets; a damaged file has those
-    before the damage. A null doc_id stays null; repeated rows give repeated results. Other columns than
-    doc_id and media are not read.
+    before the damage. A null doc_id stays null; repeated rows give repeated results; an empty table gives an
+    empty result. Other columns than doc_id and media are not read.
     """
 
     def run(batches):
