@@ -11,7 +11,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from functools import cache
+from collections import Counter
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.llm.common import map_batches, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+_TAG = re.compile(r"<(!?/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What a tag may end at, or a quoted value may start with.
+_EDGE = re.compile(r">|=\s*([\"'])")
+#: Elements whose content is no text of the page.
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template svg textarea iframe".split()}
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements that break text into blocks; all others are inline.
@@ -31,47 +37,97 @@ CLOSES |= {x: {"p"} for x in "p div ul ol dl table nav header footer aside main
 #: Words in class, id and role that are features of a block below them.
 MARKS = frozenset("ad ads advert banner article body breadcrumb breadcrumbs comment comments content copyright cookie entry footer head header links main masthead menu meta nav navbar navigation newsletter pagination popup post promo related share sharing sidebar social sponsor story subscribe tags teaser text toolbar widget".split())
 
-Block = tuple[tuple[str, ...], frozenset[str], str, float, int]
+#: path (equal for equal ancestors), parent tag, ancestor tags, ancestor marks, text, share of it in links, breaks.
+Block = tuple[int, str, frozenset[str], frozenset[str], str, float, int]
+NONE: frozenset[str] = frozenset()
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
+    """(None, text, "") and (tag, "", attributes) or (tag, "/", "") of a page, in one pass.
+
+    A quoted value after "=" may hold ">". A page with a tag that doesn't end because of its quotes is read on
+    without regard to quotes, and what follows the last ">" is text, so no part of a page is searched again and again.
+    """
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            yield None, page[at:] if not page.startswith("<!--", lt) or lt < 0 else page[at:lt], ""
+            return
+        if lt > at:
+            yield None, page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = _TAG.match(page, lt)
+        if not m:
+            if page[lt + 1] in "!?":
+                at = page.find(">", lt) + 1
+            else:
+                yield None, "<", ""
+                at = lt + 1
+            continue
+        end = -1
+        if quotes:
+            p = m.end()
+            while e := _EDGE.search(page, p):
+                if e[1] is None:
+                    end = e.start()
+                    break
+                p = page.find(e[1], e.end()) + 1
+                if not p:
+                    break
+            quotes = end >= 0
+        if end < 0:
+            end = page.find(">", m.end())
+        at, tag = end + 1, m[2].lower()
+        if m[1] == "":
+            yield tag, "", page[m.end() : end]
+            if tag in RAW:
+                close = RAW[tag].search(page, at)
+                at = close.end() if close else size
+        elif m[1] == "/":
+            yield tag, "/", ""
 
 
 def blocks(page: str) -> list[Block]:
-    """(ancestor tags, ancestor marks, text, share of the text in links, breaks) of each leaf block."""
+    """The leaf blocks of a page. An open element holds what its blocks have in common, so depth costs nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    paths: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int, frozenset[str], frozenset[str]]] = [("", 0, NONE, NONE)]
+    opened: Counter[str] = Counter()
     links, parts, linked, breaks = 0, [], 0, 0
 
     def flush() -> None:
         nonlocal parts, linked, breaks
         text = " ".join("".join(parts).split())
         if text:
-            marks = frozenset().union(*[m for _, m in stack])
-            out.append((tuple(t for t, _ in stack), marks, text, min(1.0, linked / len(text)), breaks))
+            tag, path, tags, marks = stack[-1]
+            out.append((path, tag, tags, marks, text, min(1.0, linked / len(text)), breaks))
         parts, linked, breaks = [], 0, 0
 
-    for m in _TOKEN.finditer(page):
-        text = m[4]
-        if text is not None:
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    for tag, text, attributes in tokens(page):
+        if tag is None:
             if "&" in text:
                 text = entities.unescape(text)
             parts.append(text)
             if links:
                 linked += len(text)
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[0].startswith("</"):
+        elif text == "/":
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        links = 0
-                        break
-        elif m[0][1] == "!":
-            continue
+                if opened[tag]:
+                    while close() != tag:
+                        pass
+                    links = 0
         elif tag == "br":
             parts.append("\n")
             breaks += 1
@@ -81,11 +137,13 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             closes = CLOSES.get(tag, ())
-            while stack and stack[-1][0] in closes:
-                stack.pop()
-            if tag not in VOID and not m[3].endswith("/"):
-                marks = frozenset(w for x in _NAME.findall(m[3]) for w in _WORDS.findall("".join(x).lower()) if w in MARKS) if m[3] else frozenset()
-                stack.append((tag, marks))
+            while stack[-1][0] in closes:
+                close()
+            if tag not in VOID and not attributes.endswith("/"):
+                _, path, tags, marks = stack[-1]
+                own = frozenset(w for x in _NAME.findall(attributes) for w in _WORDS.findall("".join(x).lower()) if w in MARKS) if attributes else NONE
+                stack.append((tag, paths.setdefault((path, tag), len(paths) + 1), tags if tag in tags else tags | {tag}, marks if own <= marks else marks | own))
+                opened[tag] += 1
     flush()
     return out
 
@@ -98,48 +156,49 @@ FEATURES = {f: i for i, f in enumerate([*(f"tag:{t}" for t in _TAGS), *(f"parent
 _SIZES = [(1, "words1"), (4, "words4"), (10, "words10"), (25, "words25"), (60, "words60")]
 
 
+@lru_cache(maxsize=10_000)
+def _places(parent: str, tags: frozenset[str], marks: frozenset[str]) -> tuple[int, ...]:
+    names = [f"tag:{t}" for t in tags if t not in ("html", "body")] + [f"parent:{parent}"] + [f"mark:{m}" for m in marks]
+    return tuple(FEATURES[x] for x in names if x in FEATURES)
+
+
 def features(page: list[Block]) -> list[list[int]]:
     """The features of each block, by number."""
     out, n = [], len(page)
-    words = [b[2].count(" ") + 1 for b in page]
-    for i, (tags, marks, text, links, breaks) in enumerate(page):
-        f = {f"tag:{t}" for t in tags if t not in ("html", "body")}
-        if tags:
-            f.add(f"parent:{tags[-1]}")
-        f.update(f"mark:{m}" for m in marks)
-        f.add("bias")
-        f.add(next((name for top, name in _SIZES if words[i] <= top), "words150"))
-        f.add("links0" if not links else "links1" if links > 0.95 else "links<50" if links < 0.5 else "links>50")
+    words = [b[4].count(" ") + 1 for b in page]
+    for i, (path, parent, tags, marks, text, links, breaks) in enumerate(page):
+        f = ["bias", next((name for top, name in _SIZES if words[i] <= top), "words150")]
+        f.append("links0" if not links else "links1" if links > 0.95 else "links<50" if links < 0.5 else "links>50")
         if ". " in text or "! " in text or "? " in text:
-            f.add("stops")
+            f.append("stops")
         if text[-1] in ".!?\"”»":
-            f.add("stop_end")
+            f.append("stop_end")
         if "," in text:
-            f.add("commas")
+            f.append("commas")
         if sum(map(text.count, "0123456789")) * 5 > len(text):
-            f.add("digits")
+            f.append("digits")
         if text.isupper():
-            f.add("upper")
+            f.append("upper")
         if "©" in text or "opyright" in text:
-            f.add("copyright")
+            f.append("copyright")
         if "|" in text or "»" in text or "·" in text:
-            f.add("pipes")
+            f.append("pipes")
         if i < 2:
-            f.add("first" if not i else "second")
+            f.append("first" if not i else "second")
         if i == n - 1:
-            f.add("last")
-        f.add("early" if i * 4 < n else "late" if i * 4 >= 3 * n else "run")
+            f.append("last")
+        f.append("early" if i * 4 < n else "late" if i * 4 >= 3 * n else "run")
         if breaks:
-            f.add("breaks")
+            f.append("breaks")
         if text.istitle():
-            f.add("title_case")
+            f.append("title_case")
         if i and words[i - 1] > 2 * words[i]:
-            f.add("prev_longer")
+            f.append("prev_longer")
         if i + 1 < n and words[i + 1] > 2 * words[i]:
-            f.add("next_longer")
-        if i and page[i - 1][0] == tags:
-            f.add("same_parent")
-        out.append(sorted(FEATURES[x] for x in f if x in FEATURES))
+            f.append("next_longer")
+        if i and page[i - 1][0] == path:
+            f.append("same_parent")
+        out.append(sorted([*_places(parent, tags, marks), *(FEATURES[x] for x in f)]))
     return out
 
 
@@ -303,7 +362,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
 def main_blocks(page: str) -> list[bool]:
     """For a labelled page, whether each leaf block is marked as main text."""
     marked = re.sub(r"<([a-z0-9]+) data-main>", "<\\1>\x02", page)
-    return ["\x02" in b[2] for b in blocks(marked)]
+    return ["\x02" in b[4] for b in blocks(marked)]
 
 
 def labelled_pages(n: int, seed: int) -> tuple[list[str], list[list[int]]]:
@@ -323,15 +382,16 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     Null, empty and textless pages have an empty text and no blocks; pages of which no block is main text
     have an empty text. Broken HTML is read as far as it can be: elements that are left open end
-    with their parent. A null page_id stays null; repeated rows give repeated results. Other columns than
-    page_id and html are not read.
+    with their parent. Equal scores of labels go to boilerplate. Time grows with a page's length, however deep its
+    elements are. A null page_id stays null; repeated rows give repeated results; an empty table gives an empty
+    result. Other columns than page_id and html are not read.
     """
     field = field or default_field()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = [blocks(x) if x else [] for x in batch.column("html").to_pylist()]
         labels = field.viterbi([features(b) for b in parsed])
-        text = ["\n".join(b[2] for b, y in zip(own, label) if y) for own, label in zip(parsed, labels)]
+        text = ["\n".join(b[4] for b, y in zip(own, label) if y) for own, label in zip(parsed, labels)]
         counts = [pa.array([len(b) for b in parsed], pa.int32()), pa.array([int(x.sum()) for x in labels], pa.int32())]
         return pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), *counts, pa.array(text, pa.string())], ["page_id", "n_blocks", "n_main", "text"])
 
@@ -339,4 +399,5 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`extract` over the whole table `pages`; no shuffle."""
     return extract(table(spark, sf_dir, "pages"))
