@@ -4,9 +4,10 @@ The documents of each source stand in a shuffled (hashed) queue. A document's vi
 the number of its source's tokens up to and with it, divided by the source's weight. The mixture is
 the documents in the order of their finish times, as far as the budget of tokens goes.
 
-Both running totals are exact and distributed: a queue is cut into hash ranges, the finish times into
-ranges of equal width; totals of the ranges are summed up first, then each range runs on its own, so
-that no source and no part of the sort has to fit in one task.
+Both running totals are exact and distributed: a queue is cut into hash ranges, the documents into ranges
+of their order with about as many rows each (a range sort by finish time and place, so ties are cut as well);
+totals of the ranges are summed up first, then each range runs on its own, so that no source and no part of the sort
+has to fit in one task, whatever the weights are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpoint, fresh, table
+from cloakframe.llm.common import checkpoint, fresh, shuffle_partitions, table
 
 #: Weights of the sources; one that isn't named has DEFAULT_WEIGHT, one of weight 0 is left out.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -22,8 +23,8 @@ DEFAULT_WEIGHT = 1.0
 #: Budget as a share of all tokens of the weighted sources.
 BUDGET_SHARE = 0.5
 SEED = "mix-1"
-#: Hash ranges of a queue (hex digits of the hash) and ranges of finish times.
-HASH_DIGITS, TIME_RANGES = 3, 65_536
+#: Hash ranges of a queue (hex digits of the hash).
+HASH_DIGITS = 3
 #: Sources whose places are sent to every task (about 100 bytes each).
 MOST_SOURCES = 100_000
 
@@ -64,18 +65,20 @@ def mixture(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float
     floor(share * all tokens of sources of positive weight); a document enters if the running total with
     it keeps to the budget. Ties of the finish time go by source (a null source is one of its own and
     comes first), then by place. Rows that repeat a doc_id with as many tokens enter, or don't, together. A
-    null text has 0 tokens. A table without tokens keeps its documents of 0 tokens. Columns besides
-    doc_id, source and text are not read.
+    null text has 0 tokens; a null doc_id has the place of an empty one. A table without tokens keeps its documents
+    of 0 tokens; an empty one gives an empty result. Long texts are counted whole. Columns besides doc_id, source and
+    text are not read.
     """
     timed = checkpoint(finish_times(docs, weights, default, seed).withColumn("key", F.coalesce("source", F.lit(""))))
-    total, last = timed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.max("virtual_finish"), F.lit(0.0))).first()
-    budget, width = int(total * share), max(last, 1.0) / TIME_RANGES
-    timed = timed.withColumn("range", F.least(F.floor(F.col("virtual_finish") / width), F.lit(TIME_RANGES - 1)).cast("int"))
+    # The numbers of the ranges are written down with the rows: a range that is made again may be cut elsewhere.
+    timed = checkpoint(timed.repartitionByRange(shuffle_partitions(docs.sparkSession), "virtual_finish", "key", "place").withColumn("range", F.spark_partition_id()))
     totals = timed.groupBy("range").agg(F.sum("n_tokens").alias("total"))
-    # One row for each of at most TIME_RANGES ranges: one task is enough for their running total.
+    total = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    budget = int(total * share)
+    # One row for each range: one task is enough for their running total.
     before = totals.withColumn("before", F.sum("total").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("total")).filter(F.col("before") <= budget).drop("total")
     own = F.sum("n_tokens").over(Window.partitionBy("range").orderBy("virtual_finish", "key", "place"))
-    placed = timed.join(before, "range").withColumn("running_tokens", F.col("before") + own)
+    placed = timed.join(F.broadcast(before), "range").withColumn("running_tokens", F.col("before") + own)
     return placed.filter(F.col("running_tokens") <= budget).select("doc_id", "source", "n_tokens", "virtual_finish", "running_tokens", "key", "place")
 
 
@@ -89,7 +92,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Each queue is cut at one place, so only the last place of each source is joined with the texts. Up to
     MOST_SOURCES sources the places are sent to every task, so that no text is shuffled and a large source isn't one
-    task; beyond, both sides are shuffled by source.
+    task; beyond, both sides are shuffled by source. Nulls, ties, repeated rows and empty tables are as in `mixture`;
+    columns of any names are kept as they are.
     """
     seed, key, last = options.get("seed", SEED), fresh(docs, "__key"), fresh(docs, "__last")
     cuts = mixture(docs, **options).groupBy(F.col("key").alias(key)).agg(F.max("place").alias(last))
@@ -103,6 +107,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`sorted_mixture` over the whole table `documents`, by WEIGHTS and BUDGET_SHARE."""
     return sorted_mixture(table(spark, sf_dir, "documents"))
 
 
