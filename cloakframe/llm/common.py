@@ -6,6 +6,7 @@ or scanned with numpy instead of row by row.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass works on; bounds the worker's memory.
 CHUNK_BYTES = 1 << 20
+#: Identifiers that are sent to every task (about 16 bytes each); more of them are joined by a shuffle.
+MOST_IDS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the session names. Where none is set, a temporary one in local mode (tests); on a cluster
+    that is an error, as its machines don't share such a folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if not current:
+    if not sc.getCheckpointDir():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
     return named or sc.getCheckpointDir()
 
@@ -92,10 +97,19 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """`ids`, written down and marked for broadcast if it has at most MOST_IDS rows."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def keep_rows(docs: DataFrame, drop_ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not in `drop_ids` (a column doc_id); a null doc_id stays."""
+    """Rows of `docs` whose doc_id is not in `drop_ids` (a column doc_id); a null doc_id stays.
+
+    Up to MOST_IDS identifiers no row of `docs` is shuffled.
+    """
     name = fresh(docs, "__drop_id")
-    return docs.join(drop_ids.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_anti")
+    return docs.join(small(drop_ids.select(F.col("doc_id").alias(name)).distinct()), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def splitmix(h: np.ndarray) -> np.ndarray:
