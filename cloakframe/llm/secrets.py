@@ -40,17 +40,6 @@ RULES: list[tuple[str, str]] = [
     ("url_credentials", r"\b[a-z]{3,}://[0-9A-Za-z._~-]{1,}:[0-9A-Za-z._~!$&*+=-]{3,}@[0-9A-Za-z.-]{1,}"),
 ]
 
-#: What the SQL check has for the rules that go further than it: it is kept as it was, and agrees where
-#: no text holds a private key or a value beyond its bounds.
-SQL_RULES: dict[str, str] = {
-    "bearer_jwt": r"\beyJ[0-9A-Za-z_-]{10,500}\.eyJ[0-9A-Za-z_-]{10,500}\.[0-9A-Za-z_-]{10,500}",
-    "named_secret": r"""(?i)\b(?:token|secret|passwd|password|api_?key|access_key)["' ]{0,3}[:=]{1,2}["' ]{0,3}[0-9a-z_+/-]{12,200}""",
-    "slack_token": r"\bxox[abeprs]-[0-9A-Za-z-]{10,200}",
-    "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,200}",
-    "url_credentials": r"\b[a-z]{3,10}://[0-9A-Za-z._~-]{1,100}:[0-9A-Za-z._~!$&*+=-]{3,100}@[0-9A-Za-z.-]{1,200}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-}
-
 # --- Boolean trigram queries ----------------------------------------------------------------------
 # A query is True (every text), ("tri", t), ("and", {...}) or ("or", {...}).
 
@@ -261,8 +250,8 @@ def secrets(docs: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """(doc_id, rule, start, stop): each match of each rule; start counts characters from 0, stop is exclusive.
 
     Matches of one rule don't overlap; those of several rules may. Null and empty texts have none; a
-    null doc_id stays null; repeated rows give repeated results. Other columns than doc_id and text are
-    not read.
+    null doc_id stays null; repeated rows give repeated results; an empty table gives an empty result. Whole texts
+    are searched, however long. Other columns than doc_id and text are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -277,7 +266,8 @@ def redact(docs: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """`docs` with each secret replaced by [SECRET]; overlapping matches are replaced as one.
 
     Where a text changes and there is a column n_chars, it gets the new length. All rows and all other
-    values stay, null and empty texts included.
+    values stay, null and empty texts, null ids and repeated rows included, and columns of any names. An empty table
+    stays empty.
     """
     counted = "n_chars" in docs.columns
 
@@ -316,6 +306,7 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`secrets` over the whole table `documents`, all RULES; no shuffle."""
     return secrets(table(spark, sf_dir, "documents"))
 
 
@@ -326,4 +317,4 @@ def _rule_sql(name: str, pattern: str) -> str:
       FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS gaps FROM documents WHERE regexp_matches(text, '{p}'))"""
 
 
-OP1_SQL = "SELECT doc_id, rule, start, start + length(hit) AS stop FROM (" + " UNION ALL ".join(_rule_sql(name, SQL_RULES.get(name, p)) for name, p in RULES) + ")"
+OP1_SQL = "SELECT doc_id, rule, start, start + length(hit) AS stop FROM (" + " UNION ALL ".join(_rule_sql(name, p) for name, p in RULES) + ")"

@@ -84,8 +84,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of each row of `docs`.
 
     Null and empty texts have 0 tokens; a null doc_id stays null; repeated rows give repeated results.
-    Bytes that the vocabulary lacks count one token each. Other columns than doc_id and text are not
-    read.
+    Bytes that the vocabulary lacks count one token each. Of equal ranks the leftmost pair is merged first. Long
+    texts are counted whole; an empty table gives an empty result. Other columns than doc_id and text are not read.
     """
     if os.path.getsize(vocabulary) > MOST_VOCABULARY:
         raise ValueError(f"{vocabulary} has more than {MOST_VOCABULARY} bytes")
@@ -104,4 +104,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`token_counts` over the whole table `documents`, by VOCABULARY; no shuffle."""
     return token_counts(table(spark, sf_dir, "documents"))
