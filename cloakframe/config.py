@@ -20,8 +20,10 @@ class EngineConfig:
     rag_top_k: int = 3
     chunk_size: int = 512
     pii_off: tuple[str, ...] = ()
+    #: Folder of persistent sessions (shared by all machines of a cluster); None: sessions are kept by the caller.
     state_dir: str | None = None
-    salt: str = "cloak"
+    #: Key of the surrogates: who knows it can confirm a guessed original. Another one for each configuration unless given.
+    salt: str = field(default_factory=lambda: os.urandom(16).hex())
 
     def __post_init__(self) -> None:
         if self.state_dir is not None and not os.path.isdir(self.state_dir):

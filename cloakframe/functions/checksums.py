@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 ABA_WEIGHTS = (3, 7, 1, 3, 7, 1, 3, 7, 1)
 
 
-def aba_sum(text: Column, digits: int = 9) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(ABA_WEIGHTS[:digits], 1):
-        total = total + w * F.try_to_number(F.substring(text, i, 1), F.lit("9")).cast("int")
-    return total
+def is_aba(text: str) -> bool:
+    """Whether a text is nine digits that meet the checksum of bank routing numbers."""
+    return len(text) == 9 and text.isdecimal() and sum(w * int(c) for w, c in zip(ABA_WEIGHTS, text)) % 10 == 0
 
 
-def aba_valid(text: Column) -> Column:
-    """Whether a text is nine digits that meet the checksum of bank routing numbers."""
-    return F.when(text.rlike(r"\A\d{9}\z"), aba_sum(text) % 10 == 0).otherwise(False)
+def is_luhn(text: str) -> bool:
+    """Whether a text is digits that meet the checksum of card numbers."""
+    if not text.isdecimal():
+        return False
+    digits = [int(c) for c in reversed(text)]
+    return (sum(digits[::2]) + sum(2 * d - 9 * (d > 4) for d in digits[1::2])) % 10 == 0

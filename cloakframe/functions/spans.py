@@ -1,4 +1,4 @@
-"""Spans as arrays of structs: finding, claiming, masking and replacing, without leaving the JVM."""
+"""Texts and pairs as columns: binding, replacing and restoring without leaving the JVM."""
 
 from __future__ import annotations
 
@@ -7,102 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.schema import ENTITIES
-
-#: A candidate also has the range of its whole match, by which it competes for text.
-CANDIDATE = "struct<text:string,start:int,end:int,type:string,score:double,source:string,from:int,to:int>"
-FIELDS = ("text", "start", "end", "type", "score", "source")
-
-
-def _wrapped(regex: str) -> str:
-    """Matches of `regex` with the gaps before them: each try starts where the last match ended."""
-    return rf"\G((?s:.*?))({regex})"
-
-
-def find_spans(text: Column, regex: str, type_: str, group: int = 0, score: float = 1.0, source: str = "pattern") -> Column:
-    """All matches of a Java expression as candidates; positions count characters from 0.
-
-    Groups of `regex` count from 1; with `group`, the span is that group, and matches without it are
-    left out. The group's first occurrence within the match counts, searched from the match's end.
-    """
-    pattern = F.lit(_wrapped(regex))
-    gaps, hits = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
-    inner = F.regexp_extract_all(text, pattern, F.lit(group + 2)) if group else hits
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-
-    def placed(z: Column) -> Column:
-        def place(q: Column, i: Column) -> Column:
-            at = total(F.slice(z["gaps"], 1, i + 1)) + total(F.slice(z["hits"], F.lit(1), i))
-            size = F.length(q["hits"])
-            # A group's text stands at the end of its match.
-            start = at + size - F.length(q["own"]) if group else at
-            return F.struct(
-                F.trim(q["own"]).alias("text"), start.cast("int").alias("start"), (at + size).cast("int").alias("end"), F.lit(type_).alias("type"), F.lit(score).alias("score"),
-                F.lit(source).alias("source"), at.cast("int").alias("from"), (at + size).cast("int").alias("to"),
-            )
-
-        return F.transform(F.arrays_zip(z["hits"], z["own"]), place)
-
-    # Inside a lambda nothing is computed once only, so the matches are bound to its variable first.
-    return F.filter(let(F.struct(gaps.alias("gaps"), hits.alias("hits"), inner.alias("own")), placed), lambda c: F.length(c["text"]) > 0)
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def once(value: Column) -> Column:
-    """A column that filters above don't take apart.
-
-    Catalyst moves a filter below a projection by putting the column's whole expression into it, and keeps
-    such an expression as a constraint that every step above multiplies; here that would run all patterns twice and
-    take minutes to plan. A condition that always holds but isn't deterministic stops both. Filters on other columns belong
-    before the step.
-    """
-    return F.when(F.rand(0) >= 0, value)
-
-
-def no_candidates() -> Column:
-    return F.array().cast(f"array<{CANDIDATE}>")
-
-
-def no_entities() -> Column:
-    return F.array().cast(ENTITIES)
-
-
-def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    return (a_end > b_start) & (a_start < b_end)
-
-
-def overlaps_any(x: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: overlap(x["start"], x["end"], o["start"], o["end"]))
-
-
-def claim(candidates: Column) -> Column:
-    """The candidates that get their text, in order: one whose match meets a claimed span is dropped."""
-    return F.aggregate(
-        candidates,
-        no_candidates(),
-        lambda acc, x: F.when(F.exists(acc, lambda o: overlap(x["from"], x["to"], o["start"], o["end"])), acc).otherwise(F.array_append(acc, x)),
-    )
-
-
-def as_entities(candidates: Column) -> Column:
-    return F.transform(candidates, lambda c: F.struct(*[c[f].alias(f) for f in FIELDS])).cast(ENTITIES)
-
-
-def by_start(entities: Column) -> Column:
-    """Sorted by start; entities of one start keep their order."""
-    ranked = F.transform(entities, lambda e, i: F.struct(e["start"].alias("k"), i.alias("i"), e.alias("e")))
-    return F.transform(F.array_sort(ranked), lambda r: r["e"])
-
-
-def mask_spans(text: Column, entities: Column, mark: str = "█") -> Column:
-    """The text with each span overwritten by as many marks."""
-    return F.aggregate(entities, text, lambda t, e: F.overlay(t, F.repeat(F.lit(mark), e["end"] - e["start"]), e["start"] + 1, e["end"] - e["start"]))
-
-
 def longest_first(pairs: Column) -> Column:
     """Pairs by falling length of the original; those of one length keep their order."""
     ranked = F.transform(pairs, lambda p, i: F.struct((-F.length(p["original"])).alias("k"), i.alias("i"), p.alias("p")))
@@ -117,9 +27,3 @@ def replace_pairs(text: Column, pairs: Column) -> Column:
 def restore_pairs(text: Column, pairs: Column) -> Column:
     """Each surrogate replaced by its original, in the order of the pairs."""
     return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["surrogate"], p["original"]))
-
-
-def redact(text: Column, entities: Column) -> Column:
-    """Each span replaced by [TYPE], from the right, so that positions stay true."""
-    ranked = F.array_sort(F.transform(entities, lambda e, i: F.struct((-e["start"]).alias("k"), i.alias("i"), e.alias("e"))))
-    return F.aggregate(ranked, text, lambda t, r: F.overlay(t, F.concat(F.lit("["), r["e"]["type"], F.lit("]")), r["e"]["start"] + 1, r["e"]["end"] - r["e"]["start"]))

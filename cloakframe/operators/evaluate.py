@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,16 +187,24 @@ def data_status(answers: DataFrame) -> DataFrame:
 
 
 def paired_t_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, mean and population deviation of both, mean_diff, t, p, significant) of rows with both values; nulls for fewer than two."""
+    """(n, mean and population deviation of both, mean_diff, t, p, significant) of rows with both values; nulls for fewer than two.
+
+    One aggregation; only p, of the one row that is left, is made in Python.
+    """
     d = F.col(a) - F.col(b)
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    x = both.agg(F.count("*").alias("n"), F.avg(a).alias("ma"), F.stddev_pop(a).alias("sa"), F.avg(b).alias("mb"), F.stddev_pop(b).alias("sb"), F.avg(d).alias("md"), F.stddev_samp(d).alias("sd")).first()
-    schema = "n long, a_mean double, a_std double, b_mean double, b_std double, mean_diff double, t double, p double, significant boolean"
-    if x.n < 2:
-        return df.sparkSession.createDataFrame([(x.n, *[None] * 8)], schema)
-    t = x.md / (x.sd / math.sqrt(x.n)) if x.sd else math.copysign(math.inf, x.md) if x.md else math.nan
-    p = t_test_p(t, x.n - 1) if t == t else math.nan
-    return df.sparkSession.createDataFrame([(x.n, *[round(v, 4) for v in (x.ma, x.sa, x.mb, x.sb, x.md)], round(t, 4), p, p < 0.001)], schema)
+    x = both.agg(F.count("*").alias("n"), F.avg(a).alias("a_mean"), F.stddev_pop(a).alias("a_std"), F.avg(b).alias("b_mean"), F.stddev_pop(b).alias("b_std"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"))
+    some, md, sd = F.col("n") >= 2, F.col("mean_diff"), F.col("sd")
+    # Equal differences: t is infinite, or nothing if all are zero.
+    t = F.when(sd > 0, md / (sd / F.sqrt("n"))).when(md != 0, F.when(md > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))).otherwise(F.lit(float("nan")))
+
+    @F.pandas_udf("double")
+    def two_sided(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or k < 2 else math.nan if x != x else t_test_p(x, int(k) - 1) for x, k in zip(t, n)], dtype="float64")
+
+    out = x.withColumn("t", F.when(some, t)).withColumn("p", F.when(some, two_sided("t", "n")))
+    numbers = [F.when(some, F.round(c, 4)).alias(c) for c in ("a_mean", "a_std", "b_mean", "b_std", "mean_diff")]
+    return out.select("n", *numbers, F.when(F.abs("t") < float("inf"), F.round("t", 4)).otherwise(F.col("t")).alias("t"), "p", F.when(some, F.col("p") < 0.001).alias("significant"))
 
 
 def score_means(answers: DataFrame) -> DataFrame:
@@ -264,19 +273,24 @@ def restored(answers: DataFrame) -> DataFrame:
 
 
 def restore_leaks(answers: DataFrame) -> DataFrame:
-    """(questions, leaking, leaks, rate): surrogates that restoring leaves in the reply; values that are their own surrogate don't count."""
+    """(questions, leaking, leaks, rate, precision): surrogates that restoring leaves in the reply; values that are their own surrogate don't count."""
     left = F.filter(F.map_entries("surrogate_map"), lambda e: (F.coalesce(e["value"], F.lit("")) != "") & (e["key"] != e["value"]) & F.contains(F.col("restored"), e["value"]))
-    rows = restored(answers).select(F.coalesce(F.size(left), F.lit(0)).alias("n"))
-    return _leaks(rows.withColumn("n", F.greatest("n", F.lit(0))))
+    rows = restored(answers).select(F.greatest(F.coalesce(F.size(left), F.lit(0)), F.lit(0)).alias("n"))
+    return _leaks(rows).withColumn("precision", F.when(F.col("questions") > 0, F.round(1 - F.col("leaking") / F.col("questions"), 4)).otherwise(1.0))
 
 
 def text_leaks(answers: DataFrame, keys: DataFrame, idx: str = "idx") -> DataFrame:
-    """(questions, leaking, leaks, rate): key values that stand as words of their own in the sanitized text, but for those that were recognised and kept."""
+    """(questions, leaking, leaks, rate, accuracy, error): key values that stand as words of their own in the sanitized text, but for those that
+    were recognised and kept. Accuracy and error are means over the questions with a key of the share of its values."""
     quoted = F.concat(F.lit(r"(?<![a-zA-Z0-9])\Q"), F.lower("value"), F.lit(r"\E(?![a-zA-Z0-9])"))
     kept = F.transform(F.coalesce("recognized_not_replaced", F.array()), lambda r: F.lower(r["value"]))
     texts = answers.select(idx, F.lower(F.coalesce("sanitized_input", F.lit(""))).alias("t"), kept.alias("kept"))
     rows = keys.select(idx, "value").join(texts, idx).select(idx, (~F.array_contains("kept", F.lower("value")) & F.contains(F.col("t"), F.lower("value")) & F.regexp_like("t", quoted)).cast("int").alias("leak"))
-    return _leaks(rows.groupBy(idx).agg(F.sum("leak").alias("n")))
+    per = answers.select(idx).join(rows.groupBy(idx).agg(F.sum("leak").alias("n"), F.count("*").alias("keys")), idx, "left")
+    share = F.coalesce(F.avg(F.col("n") / F.col("keys")), F.lit(0.0))
+    out = per.agg(F.count("*").alias("questions"), F.count_if(F.col("n") > 0).alias("leaking"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("leaks"), F.round(share, 4).alias("error"))
+    accuracy = F.when(F.col("questions") > 0, F.round(1 - F.col("error"), 4)).otherwise(F.lit(0.0))
+    return out.select("questions", "leaking", "leaks", F.round(F.col("leaking") / F.greatest("questions", F.lit(1)), 4).alias("rate"), accuracy.alias("accuracy"), "error")
 
 
 def _leaks(rows: DataFrame) -> DataFrame:
@@ -284,6 +298,13 @@ def _leaks(rows: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("leaking") / F.greatest("questions", F.lit(1)), 4))
 
 
-def banner(precision: Column, recall: Column, leaks: Column) -> Column:
-    """A word for a whole evaluation."""
-    return F.when(leaks > 0, "leaking").when((precision >= 0.95) & (recall >= 0.95), "excellent").when((precision >= 0.80) & (recall >= 0.80), "good").otherwise("needs work")
+def banner(accuracy: Column, precision: Column) -> Column:
+    """A word for a whole evaluation, from the accuracy of the sanitized texts and the precision of restoring (both 1 where they weren't asked for)."""
+    a, p = F.coalesce(accuracy, F.lit(1.0)), F.coalesce(precision, F.lit(1.0))
+    return F.when((a == 1) & (p == 1), "clean").when((a > 0.8) & (p > 0.8), "minor issues").otherwise("significant leaks")
+
+
+def evaluation_banner(answers: DataFrame, keys: DataFrame, idx: str = "idx") -> DataFrame:
+    """(accuracy, precision, status) of a whole evaluation."""
+    both = text_leaks(answers, keys, idx).select("accuracy").crossJoin(restore_leaks(answers).select("precision"))
+    return both.withColumn("status", banner(F.col("accuracy"), F.col("precision")))

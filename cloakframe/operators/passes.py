@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.functions.spans import as_entities, claim, find_spans, let, no_entities, overlaps_any
-from cloakframe.operators.recognizers import relabel
+from cloakframe.functions.spanlist import Claimed, Entity
 
 ORG_KINDS = "associates|company|corp|corporation|enterprise|firm|group|holdings|inc|llc|ltd|organisation|organization|solutions|ventures"
 _NAME = r"[A-Za-z]+(?:\s+[A-Za-z]+){0,3}?"
@@ -22,36 +23,49 @@ _ASKING = {
 _FRAMES = "|".join([*(rf"(?:{a})\s+(?:{b})" for a, b in _ASKING.items()), "advise|compare|describe|explain|list|recommend|suggest|summari[sz]e"])
 QUERY_FRAME = rf"(?i)^\s*(?:please\s+|(?:can|could|would)\s+you\s+(?:please\s+)?)?(?:{_FRAMES})"
 
+_FRAME, _END, _STRUCTURAL = re.compile(QUERY_FRAME), re.compile(CLAUSE_END), re.compile(STRUCTURAL)
+#: Places whose names may be topics.
+TOPICS = ("GPE", "LOC")
 
-def structural_orgs(text: Column, existing: Column) -> Column:
-    """Pass A. Names before words such as "corporation", unless they meet an entity or one another."""
-    name = find_spans(text, STRUCTURAL.removeprefix("(?i)").join(("(?i:", ")")), "ORG", group=1, score=0.90)
-    # The name doesn't end its match: it starts after the article.
-    placed = F.transform(name, lambda c: _at_name(text, c))
-    free = F.filter(placed, lambda c: ~overlaps_any(c, existing))
-    return F.when(text.rlike(STRUCTURAL), as_entities(claim(free))).otherwise(no_entities())
 
+def structural_orgs(text: str, existing: list[Entity]) -> list[Entity]:
+    """Pass A. Names before words such as "corporation", unless they meet an entity or one another."""
+    out: list[Entity] = []
+    low = text.lower()
+    if not any(kind in low for kind in ORG_KINDS.split("|")):
+        return out
+    taken = Claimed(existing)
+    for m in _STRUCTURAL.finditer(text):
+        if taken.free(m.start(1), m.end(1)):
+            taken.add(m.start(1), m.end(1))
+            out.append(Entity(m[1].strip(), m.start(1), m.end(1), "ORG", 0.90, "pattern"))
+    return out
+
+
+def names_behind_addresses(entities: list[Entity]) -> list[Entity]:
+    """Pass B. An organisation that some email's user name starts with is a person."""
+    users = {e.text.split("@")[0].lower() for e in entities if e.type == "email" and "@" in e.text}
+    person = lambda e: e.type == "ORG" and len(e.text) >= 3 and any(u.startswith(e.text.lower()) for u in users)
+    return [e._replace(type="PERSON", score=0.88) if users and person(e) else e for e in entities]
 
-def _at_name(text: Column, c: Column) -> Column:
-    whole = F.substring(text, c["from"] + 1, c["to"] - c["from"])
-    lead = F.length(F.regexp_extract(whole, r"(?i)\A(?:an|a|the)\s+", 0))
-    start = c["from"] + lead
-    return c.withField("start", start).withField("end", start + F.length(c["text"])).withField("from", start).withField("to", start + F.length(c["text"]))
 
+def without_parts_of_names(entities: list[Entity]) -> list[Entity]:
+    """Pass C. A person all of whose words are in another person's goes; persons come last.
 
-def names_behind_addresses(entities: Column) -> Column:
-    """Pass B. An organisation that some email's user name starts with is a person."""
-    users = F.transform(F.filter(entities, lambda e: (e["type"] == "email") & F.contains(e["text"], F.lit("@"))), lambda e: F.lower(F.substring_index(e["text"], "@", 1)))
-    return let(users, lambda u: relabel(entities, lambda e: (e["type"] == "ORG") & (F.length(e["text"]) >= 3) & F.exists(u, lambda x: F.startswith(x, F.lower(e["text"]))), "PERSON", 0.88))
+    Only names that share a word are compared, so many persons don't take quadratic time.
+    """
+    persons = [e for e in entities if e.type == "PERSON"]
+    words = {e.text: frozenset(e.text.split()) for e in persons}
+    having: dict[str, set[str]] = {}
+    for name, own in words.items():
+        for w in own:
+            having.setdefault(w, set()).add(name)
+    gone = {name for name, own in words.items() if own and set.intersection(*[having[w] for w in own]) - {name}}
+    return [e for e in entities if e.type != "PERSON"] + [e for e in persons if e.text not in gone]
 
 
-def without_parts_of_names(entities: Column) -> Column:
-    """Pass C. A person all of whose words are in another person's goes; persons come last."""
-    words = lambda e: F.array_distinct(F.split(F.trim(e["text"]), r"\s+"))
-    persons = F.filter(entities, lambda e: e["type"] == "PERSON")
-    part = lambda e, all_: F.exists(all_, lambda o: (o["text"] != e["text"]) & (F.size(F.array_except(words(e), words(o))) == 0))
-    kept = let(persons, lambda p: F.filter(p, lambda e: ~part(e, p)))
-    return F.concat(F.filter(entities, lambda e: e["type"] != "PERSON"), kept)
+def clause_list(text: str) -> list[str]:
+    return [c.strip() for c in _END.split(text) if c.strip()]
 
 
 def clauses(text: Column) -> Column:
@@ -63,26 +77,24 @@ def is_query_frame(clause: Column) -> Column:
     return clause.rlike(QUERY_FRAME)
 
 
-def is_proper(e: Column, text: Column) -> Column:
+def is_proper(name: str, text: str) -> bool:
     """Capitalised, or at a sentence's start, or not in the text at all."""
-    at = F.instr(text, e["text"])
-    at = F.when(at > 0, at).otherwise(F.instr(F.lower(text), F.lower(e["text"])))
-    before = F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")
-    return e["text"].rlike(r"^\p{Lu}") | (at == 0) | (before == "") | before.rlike(r"[.!?;]$")
+    if name[:1].isupper():
+        return True
+    at = text.find(name)
+    at = text.lower().find(name.lower()) if at < 0 else at
+    before = text[: max(at, 0)].rstrip()
+    return at < 0 or not before or before[-1] in ".!?;"
 
 
-def without_topics(entities: Column, text: Column) -> tuple[Column, Column]:
+def without_topics(entities: list[Entity], text: str) -> tuple[list[Entity], list[Entity]]:
     """Pass D. (kept, skipped): places that only clauses with a question name are what it is about; those in
     lower case within a sentence are common words. Kept places come last."""
-    is_place = lambda e: e["type"].isin("GPE", "LOC")
-    marked = F.transform(clauses(text), lambda c: F.struct(F.lower(c).alias("clause"), is_query_frame(c).alias("asks")))
-
-    def topical(cs: Column):
-        def test(e: Column) -> Column:
-            inside = lambda asks: F.exists(cs, lambda c: F.contains(c["clause"], F.lower(e["text"])) & (c["asks"] == F.lit(asks)))
-            return ~is_proper(e, text) | (inside(True) & ~inside(False))
-
-        return test
-
-    kept = let(marked, lambda cs: F.concat(F.filter(entities, lambda e: ~is_place(e)), F.filter(entities, lambda e: is_place(e) & ~topical(cs)(e))))
-    return kept, let(marked, lambda cs: F.filter(entities, lambda e: is_place(e) & topical(cs)(e)))
+    places = [e for e in entities if e.type in TOPICS]
+    if not places:
+        return entities, []
+    marked = [(c.lower(), bool(_FRAME.match(c))) for c in clause_list(text)]
+    asked, told = "\0".join(c for c, asks in marked if asks), "\0".join(c for c, asks in marked if not asks)
+    topic = lambda e: not is_proper(e.text, text) or e.text.lower() in asked and e.text.lower() not in told
+    skipped = [e for e in places if topic(e)]
+    return [e for e in entities if e.type not in TOPICS] + [e for e in places if e not in skipped], skipped

@@ -1,19 +1,20 @@
 """Restoring originals in a reply: exactly, by the words of a surrogate, and by likeness.
 
-The exact pass stays in the JVM. Only replies with a surrogate that it missed go on to an Arrow batch
-function, because the later passes need expressions and windows that depend on the row.
+All passes run in one Arrow function: the later ones need expressions and windows that depend on the row, and a text that was
+made by detection is read once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.batches import list_array, with_columns
+
 SNIPPET = 120
 FAILURE = "array<struct<surrogate:string,original:string,failure_type:string,context_snippet:string>>"
 
@@ -52,19 +53,30 @@ def _common(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
-def best_span(text: str, query: str) -> tuple[float, int, int]:
-    """(likeness, start, end): windows of twice the query's length at steps of an eighth; the first best one. The span has the query's length from the window's start."""
+def best_span(text: str, query: str, least: float = 0.0) -> tuple[float, int, int]:
+    """(likeness, start, end): windows of twice the query's length at steps of an eighth; the first best one. The span has the query's length from the window's start.
+
+    Windows that can't reach `least` are left out: the letters that they share with the query, counted for all windows at once, bound
+    the likeness.
+    """
     if not text or not query:
         return 0.0, -1, -1
-    n, low, q = len(query), text.lower(), query.lower()
+    low, q = text.lower(), query.lower()
+    n = len(q)
+    starts = np.arange(0, max(1, len(text) - len(query) + 1), max(1, len(query) // 8))
+    ends = np.minimum(starts + 2 * len(query), len(low))
+    letters = np.array([ord(c) for c in low], np.uint32)
+    common = np.zeros(len(starts), np.int64)
+    for c in set(q):
+        upto = np.concatenate([[0], np.cumsum(letters == ord(c))])
+        common += np.minimum(upto[ends] - upto[np.minimum(starts, ends)], q.count(c))
+    bound = 200.0 * common / (n + common)
     found = (0.0, -1, -1)
-    for a in range(0, max(1, len(text) - n + 1), max(1, n // 8)):
-        window = low[a : a + 2 * n]
-        # Cheap bound: the letters that both have.
-        if SequenceMatcher(None, q, window, autojunk=False).quick_ratio() * (n + len(window)) * 100 / n <= found[0]:
-            continue
-        if (score := likeness(q, window)) > found[0]:
-            found = score, a, a + n
+    for a, most in zip(starts[bound >= least].tolist(), bound[bound >= least].tolist()):
+        if most > found[0] and (score := likeness(q, low[a : a + 2 * len(query)])) > found[0]:
+            found = score, a, a + len(query)
+            if score == 100:
+                break
     return found
 
 
@@ -96,7 +108,7 @@ def resolve_text(reply: str | None, pairs: list[tuple[str, str]], threshold: flo
             left.append(i)
     for i in left[:]:
         s, o = log[i][:2]
-        score, a, b = best_span(text, s)
+        score, a, b = best_span(text, s, threshold)
         if score >= threshold and a >= 0:
             text, log[i][2] = text[:a] + o + text[b:], "fuzzy_hit"
             left.remove(i)
@@ -104,26 +116,20 @@ def resolve_text(reply: str | None, pairs: list[tuple[str, str]], threshold: flo
     return text, [tuple(x) for x in log]
 
 
-def resolve(df: DataFrame, key: str, reply: str = "reply", pairs: str = "pairs", threshold: float = 85.0) -> DataFrame:
-    """(key, resolved, failures) of each row; `pairs` is an array of (original, surrogate) in the order in which they are restored.
+def resolve(df: DataFrame, reply: str = "reply", pairs: str = "pairs", out: str = "resolved", failures: str | None = None, threshold: float = 85.0) -> DataFrame:
+    """Adds the reply with its originals, and what failed if `failures` names a column for it; `pairs` is an array of (original, surrogate) in the order
+    in which they are restored.
 
-    A null reply stays null; without pairs the reply is as it was.
+    A null reply stays null; without pairs the reply is as it was. A session's pairs travel with each of its replies.
     """
+    kind = pa.struct([(x, pa.string()) for x in ("surrogate", "original", "failure_type", "context_snippet")])
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        done = [resolve_text(r, [(p["surrogate"], p["original"]) for p in ps or ()], threshold) for r, ps in zip(batch.column(reply).to_pylist(), batch.column(pairs).to_pylist())]
+        texts = pa.array([x[0] for x in done], pa.string())
+        return [texts, list_array([x[1] for x in done], kind)] if failures else [texts]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [resolve_text(r, [(p["surrogate"], p["original"]) for p in ps] if ps is not None else [], threshold) for r, ps in zip(frame[reply], frame[pairs])]
-            names = ("surrogate", "original", "failure_type", "context_snippet")
-            yield pd.DataFrame({key: frame[key], "resolved": [x[0] for x in done], "failures": [[dict(zip(names, f)) for f in x[1]] for x in done]})
-
-    kind = dict(df.dtypes)[key]
-    missed = F.exists(pairs, lambda p: ~F.contains(F.col(reply), p["surrogate"]))
-    # A surrogate may appear or vanish as earlier pairs are restored, so pairs that touch one another go the long way as well.
-    touching = F.exists(pairs, lambda p: F.exists(pairs, lambda q: F.contains(p["original"], q["surrogate"]) | ((p != q) & F.contains(p["surrogate"], q["surrogate"]))))
-    hard = F.coalesce(F.col(reply).isNotNull() & (missed | touching), F.lit(False))
-    rows = df.select(key, reply, pairs)
-    easy = rows.filter(~hard).select(key, F.aggregate(F.coalesce(F.col(pairs), F.array().cast("array<struct<original:string,surrogate:string>>")), F.col(reply), lambda t, p: F.replace(t, p["surrogate"], p["original"])).alias("resolved"), F.array().cast(FAILURE).alias("failures"))
-    return easy.unionByName(rows.filter(hard).mapInPandas(run, f"{key} {kind}, resolved string, failures {FAILURE}"))
+    return with_columns(df, {out: "string"} | ({failures: FAILURE} if failures else {}), run)
 
 
 def failure_summary(resolved: DataFrame) -> DataFrame:

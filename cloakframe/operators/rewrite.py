@@ -2,75 +2,108 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.config import EngineConfig
-from cloakframe.functions.spans import by_start, no_entities, once, overlap, redact, replace_pairs
-from cloakframe.functions.surrogates import surrogate_sql
-from cloakframe.operators.cascade import best_by_text, cascade
+from cloakframe.functions import spanlist
+from cloakframe.functions.batches import PAIR_TYPE, entity_array, list_array, map_rows, to_entities, with_columns
+from cloakframe.functions.spanlist import Claimed, Entity
+from cloakframe.functions.surrogates import REPEATABLE, draw, pairs_of
+from cloakframe.operators.cascade import Cascade
+from cloakframe.operators.risk import risks
 from cloakframe.operators.service import fuzz_addresses, is_service_query
-from cloakframe.schema import PAIRS
+from cloakframe.schema import ENTITIES, PAIRS
 
-#: Salted attempts at an unused surrogate before a suffix makes it one.
+#: Salted attempts at an unused surrogate in a session before a suffix makes it one.
 ATTEMPTS = 4
-REPEATABLE = ("gender_indicator",)
 
 
-def pairs_of(entities: str, session: str, known: str | None = None, config: EngineConfig = EngineConfig()) -> Column:
-    """(original, surrogate) of each distinct text, in order; `entities`, `session` and `known` are column names.
-
-    Originals in `known` (an array of pairs) keep their surrogate and give no new pair. A surrogate that is
-    taken, or is the original itself, is drawn again, at last with a suffix that counts the pairs.
-    """
-    known = known or f"CAST(array() AS {PAIRS})"
-    one = surrogate_sql("e.type", "e.text", f"CAST({session} AS STRING)", salt=config.salt, attempt="k")
-    again = f"e.type IN ({', '.join(repr(t) for t in REPEATABLE)})"
-    drawn = f"transform(filter({entities}, e -> NOT exists({known}, p -> p.original = e.text)), e -> named_struct('original', e.text, 'again', {again}, 'tries', transform(sequence(0, {ATTEMPTS - 1}), k -> {one})))"
-    pair = f"named_struct('original', x.original, 'surrogate', coalesce(try_element_at(filter(x.tries, t -> x.again OR (t <> x.original AND NOT exists(acc, p -> p.surrogate = t) AND NOT exists({known}, p -> p.surrogate = t))), 1), concat(x.tries[0], '_', lpad(lower(hex(size(acc))), 4, '0'))))"
-    return F.expr(f"aggregate({drawn}, CAST(array() AS {PAIRS}), (acc, x) -> CASE WHEN exists(acc, p -> p.original = x.original) THEN acc ELSE array_append(acc, {pair}) END)")
+def replaced(text: str, pairs: dict[str, str]) -> str:
+    """Each original replaced by its surrogate, one pair after the other, longest original first."""
+    for o in sorted(pairs, key=len, reverse=True):
+        text = text.replace(o, pairs[o])
+    return text
 
 
-def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig = EngineConfig(), known: str | None = None, **stages: object) -> DataFrame:
-    """Adds sanitized and pairs to the cascade's columns; one projection, no shuffle.
+def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig = EngineConfig(), known: str | None = None, skip_fuzzed: bool = True, **stages: object) -> DataFrame:
+    """Adds is_service, fuzzed, confirmed, uncertain, skipped, risks, pairs and sanitized; one pass, no shuffle.
 
     Requests for a service keep their places, and their addresses move next door. Surrogates depend on the session and the original
-    alone, so all rows of a session agree without meeting, unless two originals of different rows draw the same one: `session_map`
-    settles those. Null texts stay null.
+    alone, so all rows of a session agree without meeting, unless two originals of different rows draw the same one: `surrogate_rows`
+    settles those. `known` names an array column of pairs that are kept. Moved addresses are left alone with `skip_fuzzed`. Null texts stay null.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("is_service", once(is_service_query(F.col(text))))
-    out = out.withColumn("__fuzzed", once(F.when(F.col("is_service"), fuzz_addresses(whole, F.col(session).cast("string"))).otherwise(F.struct(whole.alias("text"), F.array().cast(PAIRS).alias("pairs")))))
-    out = out.withColumns({"__work": F.col("__fuzzed.text"), "fuzzed": F.col("__fuzzed.pairs")})
-    out = cascade(out, "__work", config, service="is_service", **stages).withColumn("confirmed", once(best_by_text(F.col("confirmed"))))
-    out = out.withColumn("pairs", once(pairs_of("confirmed", f"`{session}`", known, config)))
-    every = F.concat(F.col(known), F.col("pairs")) if known else F.col("pairs")
-    return out.withColumn("sanitized", once(F.when(F.col(text).isNotNull(), replace_pairs(F.col("__work"), every)))).drop("__fuzzed", "__work")
+    asks = df.withColumn("is_service", is_service_query(F.col(text)))
+    none = F.struct(whole.alias("text"), F.array().cast(PAIRS).alias("pairs"))
+    asks = asks.withColumn("__fuzzed", F.when(F.col("is_service"), fuzz_addresses(whole, F.col(session).cast("string"))).otherwise(none)).withColumn("__key", F.col(session).cast("string"))
+    engine, salt = Cascade(config, **stages), config.salt
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        found, pairs, clean = [], [], []
+        olds = batch.column(known).to_pylist() if known else [None] * batch.num_rows
+        for own, work, service, name, old in zip(batch.column(text).to_pylist(), batch.column("__fuzzed").to_pylist(), batch.column("is_service").to_pylist(), batch.column("__key").to_pylist(), olds):
+            f = engine.find(work["text"], [p["surrogate"] for p in work["pairs"]] if skip_fuzzed else None, service)
+            f = f._replace(confirmed=spanlist.best_by_text(f.confirmed))
+            kept = {p["original"]: p["surrogate"] for p in old or ()}
+            p = pairs_of([(e.type, e.text) for e in f.confirmed], name or "", salt, kept)
+            found.append(f)
+            pairs.append([x for x in p.items() if x[0] not in kept])
+            clean.append(None if own is None else replaced(work["text"], p))
+        return [*(entity_array([f[k] for f in found]) for k in range(3)), pa.array([f.types for f in found], pa.list_(pa.string())), list_array(pairs, PAIR_TYPE), pa.array(clean, pa.string())]
+
+    out = with_columns(asks, {"confirmed": ENTITIES, "uncertain": ENTITIES, "skipped": ENTITIES, "__types": "array<string>", "pairs": PAIRS, "sanitized": "string"}, run)
+    return out.withColumns({"risks": risks(F.col("__types")), "fuzzed": F.col("__fuzzed.pairs")}).drop("__fuzzed", "__types", "__key")
+
+
+def with_pairs(df: DataFrame, session: str, entities: str = "entities", text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Adds pairs (original, surrogate) of the row's entities, and masked: the text with the surrogates."""
+    salt = config.salt
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        names = batch.column(session).cast(pa.string()).to_pylist()
+        made = [pairs_of([(e.type, e.text) for e in own], name or "", salt) for own, name in zip(to_entities(batch.column(entities)), names)]
+        clean = [None if t is None else replaced(t, p) for t, p in zip(batch.column(text).to_pylist(), made)]
+        return [list_array([list(p.items()) for p in made], PAIR_TYPE), pa.array(clean, pa.string())]
+
+    return with_columns(df, {"pairs": PAIRS, "masked": "string"}, run)
 
 
 def surrogate_rows(entities: DataFrame, session: str, config: EngineConfig = EngineConfig(), known: DataFrame | None = None) -> DataFrame:
     """(session, type, original, surrogate) of distinct originals, from one row for each entity (session, type, text).
 
     Within a session no two originals share a surrogate: the first by original keeps it, the others draw again (a window by
-    session and surrogate for each attempt), at last with a suffix of their rank. Originals in `known` (session, original, surrogate) keep theirs, and what
-    it holds is taken.
+    session and surrogate for each attempt, so a large session isn't one task), at last with a suffix of their rank. Originals in
+    `known` (session, original, surrogate) keep theirs, and what it holds is taken.
     """
-    rows = entities.select(session, "type", F.trim("text").alias("original")).filter("original <> ''").distinct()
-    first = Window.partitionBy(session, "original").orderBy("type")
-    rows = rows.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
-    old = known.select(session, "original", F.col("surrogate").alias("kept")) if known is not None else None
-    out = rows.join(old, [session, "original"], "left") if old is not None else rows.withColumn("kept", F.lit(None).cast("string"))
-    draw = lambda k: F.expr(surrogate_sql("type", "original", f"CAST({session} AS STRING)", salt=config.salt, attempt=str(k)))
-    out = out.withColumn("surrogate", F.coalesce("kept", draw(0)))
+    salt, kind = config.salt, dict(entities.dtypes)[session]
+    rows = entities.select(session, "type", F.trim("text").alias("original")).filter("original <> ''").groupBy(session, "original").agg(F.min("type").alias("type"))
+    old = known.select(F.col("session").cast(kind).alias(session) if "session" in known.columns else F.col(session), "original", F.col("surrogate").alias("kept")) if known is not None else None
+    named = rows.withColumn("__s", F.col(session).cast("string"))
+
+    def tries(_, own: str | None, type_: str, original: str):
+        yield _, type_, original, [draw(type_, original, own or "", salt, k) for k in range(ATTEMPTS)]
+
+    out = map_rows(named, [session, "__s", "type", "original"], f"`{session}` {kind}, type string, original string, tries array<string>", tries)
+    if old is None:
+        out = out.withColumn("kept", F.lit(None).cast("string"))
+    else:
+        # What is known takes part in every round, so that nobody else gets it.
+        out = out.join(old, [session, "original"], "full_outer").withColumns({"new": F.col("type").isNotNull(), "type": F.coalesce("type", F.lit(""))})
+    if "new" not in out.columns:
+        out = out.withColumn("new", F.lit(True))
+    may = F.col("kept").isNull() & ~F.col("type").isin(*sorted(REPEATABLE))
+    out = out.withColumn("surrogate", F.coalesce("kept", F.col("tries")[0]))
     by_surrogate = Window.partitionBy(session, "surrogate").orderBy(F.col("kept").isNull(), "original")
     for k in range(1, ATTEMPTS):
         out = out.withColumn("r", F.row_number().over(by_surrogate))
-        again = F.col("kept").isNull() & ~F.col("type").isin(*REPEATABLE) & ((F.col("r") > 1) | (F.col("surrogate") == F.col("original")))
-        out = out.withColumn("surrogate", F.when(again, draw(k)).otherwise(F.col("surrogate")))
+        out = out.withColumn("surrogate", F.when(may & ((F.col("r") > 1) | (F.col("surrogate") == F.col("original"))), F.col("tries")[k]).otherwise(F.col("surrogate")))
     out = out.withColumn("r", F.row_number().over(by_surrogate))
-    suffix = F.concat(F.lit("_"), F.lpad(F.lower(F.hex("r")), 4, "0"))
-    out = out.withColumn("surrogate", F.when(F.col("kept").isNull() & ~F.col("type").isin(*REPEATABLE) & (F.col("r") > 1), F.concat("surrogate", suffix)).otherwise(F.col("surrogate")))
-    return out.select(session, "type", "original", "surrogate")
+    digits = F.lower(F.hex("r"))
+    suffix = F.concat(F.lit("_"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 4 - F.length(digits))), digits)
+    out = out.withColumn("surrogate", F.when(may & (F.col("r") > 1), F.concat("surrogate", suffix)).otherwise(F.col("surrogate")))
+    return out.filter("new").select(session, "type", "original", "surrogate")
 
 
 def inverted(pairs: Column) -> Column:
@@ -84,21 +117,35 @@ def anonymise(df: DataFrame, session: str, text: str = "text", config: EngineCon
     return mask(df, session, text, config).withColumn(text, F.col("sanitized")).select(*df.columns)
 
 
-def baseline_entities(candidates: Column, text: Column) -> Column:
+def baseline_of(found: list[Entity], text: str) -> list[Entity]:
     """Entities of another engine: positions within the text, trimmed, scores of two digits; where they overlap the higher score stays."""
-    size = F.length(text)
+    taken, kept = Claimed(), []
+    fitted = []
+    for e in found:
+        a, b = max(0, e.start), min(len(text), e.end)
+        if own := text[a:b].strip():
+            fitted.append(Entity(own, a, b, e.type, round(e.score, 2), e.source))
+    for e in sorted(fitted, key=lambda e: -e.score):
+        if taken.free(e.start, e.end):
+            taken.add(e.start, e.end)
+            kept.append(e)
+    return sorted(kept, key=lambda e: e.start)
+
+
+def baseline_entities(df: DataFrame, candidates: str, text: str = "text", out: str = "baseline") -> DataFrame:
+    """Adds the fitted entities of another engine, from a column with what it found; null where it found nothing to tell."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        fitted = [baseline_of(e, t or "") for e, t in zip(to_entities(batch.column(candidates)), batch.column(text).to_pylist())]
+        return [entity_array(fitted)]
 
-    def fit(e: Column) -> Column:
-        a, b = F.greatest(F.lit(0), e["start"]), F.least(size, e["end"])
-        return e.withField("start", a).withField("end", b).withField("text", F.trim(F.substring(text, a + 1, b - a))).withField("score", F.round(e["score"], 2))
+    return with_columns(df, {out: ENTITIES}, run)
 
-    fitted = F.filter(F.transform(candidates, fit), lambda e: F.length(e["text"]) > 0)
-    ranked = F.transform(F.array_sort(F.transform(fitted, lambda e, i: F.struct((-e["score"]).alias("s"), i.alias("i"), e.alias("e")))), lambda r: r["e"])
-    kept = F.aggregate(ranked, no_entities(), lambda acc, x: F.when(F.exists(acc, lambda o: overlap(x["start"], x["end"], o["start"], o["end"])), acc).otherwise(F.array_append(acc, x)))
-    return by_start(kept)
 
+def redacted(df: DataFrame, text: str = "text", entities: str = "entities", out: str = "redacted") -> DataFrame:
+    """Adds the text with each entity's span replaced by its type in brackets."""
 
-def redacted(df: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
-    """Adds redacted: each entity's span replaced by its type in brackets."""
-    return df.withColumn("redacted", redact(F.col(text), F.col(entities)))
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([None if t is None else spanlist.redact(t, e) for t, e in zip(batch.column(text).to_pylist(), to_entities(batch.column(entities)))], pa.string())]
 
+    return with_columns(df, {out: "string"}, run)

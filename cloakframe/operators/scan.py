@@ -1,57 +1,40 @@
-"""The pattern stage: sixteen ordered expressions, checks, skip values and claiming."""
+"""The pattern stage as an operator: sixteen ordered expressions, checks, skip values and claiming."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.patterns import BY_TYPE, PATTERNS, Pattern
-from cloakframe.functions.spans import as_entities, by_start, claim, find_spans, no_candidates, once
-
-
-def is_skipped(matched: Column, skip: Column) -> Column:
-    """A matched text that is a skip value, or a part (of six characters or more) of a longer one."""
-    return F.exists(skip, lambda v: (v == matched) | ((F.length(matched) >= 6) & (F.length(v) > F.length(matched)) & F.contains(v, matched)))
-
-
-def candidates(text: Column, pattern: Pattern, skip: Column | None = None) -> Column:
-    """Checked matches of one pattern; texts that fail its gate cost one search."""
-    found = find_spans(text, pattern.regex, pattern.type, pattern.group)
-    if pattern.check is not None:
-        found = F.filter(found, lambda c: pattern.check(c["text"]))
-    if skip is not None:
-        found = F.filter(found, lambda c: ~is_skipped(c["text"], skip))
-    return F.when(pattern.gate(text), found).otherwise(no_candidates())
+from cloakframe.functions import spanlist
+from cloakframe.functions.batches import entity_array, map_rows, with_columns
+from cloakframe.functions.patterns import BY_TYPE, PATTERNS
+from cloakframe.schema import ENTITIES
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "entities", types: tuple[str, ...] | None = None, skip: str | None = None) -> DataFrame:
     """Adds the entities of the pattern stage to each row, by start.
 
-    Candidates are one array column, so the claiming fold reads what the expressions found once. Null
-    texts have no entities.
+    `skip` names an array column of values that are left alone. Null texts have no entities. One pass over the texts, no
+    shuffle; filter on other columns before.
     """
     patterns = [p for p in PATTERNS if types is None or p.type in types]
-    skipped = F.col(skip) if skip else None
-    whole = F.coalesce(F.col(text), F.lit(""))
-    tmp = f"__{out}_candidates"
-    # No digit, no @ and no letter pair of a keyword: most patterns need a digit, so one search spares many.
-    digits = whole.rlike(r"\d")
-    found = []
-    for p in patterns:
-        own = candidates(whole, p, skipped)
-        found.append(own if p.type in ("email", "api_key", "gender_indicator", "us_driver_license", "crypto") else F.when(digits, own).otherwise(no_candidates()))
-    staged = df.withColumn(tmp, once(F.concat(*found)))
-    claimed = F.when(F.size(tmp) > 0, by_start(as_entities(claim(F.col(tmp))))).otherwise(as_entities(no_candidates()))
-    return staged.withColumn(out, once(claimed)).drop(tmp)
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = batch.column(text).to_pylist()
+        left = batch.column(skip).to_pylist() if skip else [None] * len(texts)
+        return [entity_array([spanlist.scan(t, patterns, s) for t, s in zip(texts, left)])]
+
+    return with_columns(df, {out: ENTITIES}, run)
 
 
 def extract(df: DataFrame, type_: str, key: str, text: str = "text") -> DataFrame:
     """(key, value, start, stop) of all checked matches of one pattern, without claiming."""
-    found = candidates(F.coalesce(F.col(text), F.lit("")), BY_TYPE[type_])
-    return df.select(key, F.explode(found).alias("c")).select(key, F.col("c.text").alias("value"), F.col("c.start").alias("start"), F.col("c.end").alias("stop"))
+    pattern, kind = BY_TYPE[type_], dict(df.dtypes)[key]
+    found = lambda k, t: ((k, e.text, e.start, e.end) for e in spanlist.candidates(t, pattern))
+    return map_rows(df, [key, text], f"`{key}` {kind}, value string, start int, stop int", found)
 
 
 def explode_entities(df: DataFrame, key: str, entities: str = "entities") -> DataFrame:
     """One row for each entity, with its place in the array."""
-    # The outer form: for the inner one Catalyst infers a filter, and puts the whole detection into it.
-    return df.select(key, F.posexplode_outer(entities).alias("ord", "e")).filter("e IS NOT NULL").select(key, "ord", *[F.col(f"e.{f}").alias("stop" if f == "end" else f) for f in ("text", "start", "end", "type", "score", "source")])
+    return df.select(key, F.posexplode(entities).alias("ord", "e")).select(key, "ord", *[F.col(f"e.{f}").alias("stop" if f == "end" else f) for f in ("text", "start", "end", "type", "score", "source")])

@@ -59,12 +59,15 @@ def address_pairs(text: Column, seed: Column) -> Column:
 
     def pair(z: Column) -> Column:
         up = F.conv(F.substring(F.md5(F.concat(seed, F.lit("|"), z["whole"])), 1, 1), 16, 10).cast("int") % 2 * 2 - 1
-        number = F.greatest(F.lit(1), z["number"].cast("decimal(38,0)") + up).cast("string")
+        size, end = F.length(z["number"]), F.substring(z["number"], -1, 1).cast("int")
+        # A number too long to count with moves by its last digit, without a carry.
+        long = F.concat(F.substring(z["number"], F.lit(1), size - 1), (end + F.when(end == 0, 1).when(end == 9, -1).otherwise(up)).cast("string"))
+        number = F.when(size < 30, F.greatest(F.lit(1), z["number"].try_cast("decimal(38,0)") + up).cast("string")).otherwise(long)
         tail = lambda x: F.when(F.length(F.trim(x)) > 0, F.concat(F.lit(", "), F.trim(x))).otherwise("")
         return F.struct(F.trim(z["whole"]).alias("original"), F.concat(number, F.lit(" "), F.trim(z["street"]), tail(z["city"]), tail(z["state"])).alias("surrogate"))
 
     rows = F.arrays_zip(*[g(k).alias(n) for k, n in enumerate(("whole", "number", "street", "city", "state"))])
-    found = F.array_distinct(F.transform(F.filter(rows, lambda z: F.length(z["number"]) < 30), pair))
+    found = F.array_distinct(F.transform(rows, pair))
     return F.when(text.rlike(r"\d\s+[A-Za-z0-9]"), found).otherwise(F.array()).cast(PAIRS)
 
 

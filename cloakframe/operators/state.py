@@ -1,25 +1,30 @@
 """Keyed reversible state: one row for each pair of a session, sealed at rest.
 
-A state is a DataFrame (session, original, surrogate, seq). Sealed, it is one row for each session: the
-pairs as JSON under a key derived from the secret and the session's name.
+A state is a DataFrame (session, original, surrogate, seq). Sealed, it is a row for each PART pairs of a session: JSON under a key
+derived from the secret and the session's name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.crypto import derived_key, seal, unseal
 from cloakframe.schema import PAIRS
 
 STATE = "session string, original string, surrogate string, seq bigint"
+SEALED = "array<struct<seq:bigint,original:string,surrogate:string>>"
+#: Pairs of one sealed row.
+PART = 10_000
 
 
 def update(state: DataFrame, new: DataFrame) -> DataFrame:
     """The state with the pairs of `new` (session, original, surrogate): a later pair of a surrogate replaces the earlier one."""
     last = state.groupBy("session").agg(F.max("seq").alias("last"))
-    place = F.row_number().over(Window.partitionBy("session").orderBy("original", "surrogate"))
-    added = new.select("session", "original", "surrogate", place.alias("r")).join(last, "session", "left").select("session", "original", "surrogate", (F.coalesce("last", F.lit(0)) + F.col("r")).cast("bigint").alias("seq"))
+    # Numbers that rise, with gaps: no session has to be ordered in one task.
+    added = new.select("session", "original", "surrogate", (F.monotonically_increasing_id() + 1).alias("r")).join(last, "session", "left").select("session", "original", "surrogate", (F.coalesce("last", F.lit(0)) + F.col("r")).cast("bigint").alias("seq"))
     newest = Window.partitionBy("session", "surrogate").orderBy(F.desc("seq"))
     return state.select("session", "original", "surrogate", "seq").unionByName(added).withColumn("r", F.row_number().over(newest)).filter("r = 1").drop("r")
 
@@ -36,16 +41,54 @@ def as_pairs(state: DataFrame) -> DataFrame:
 
 
 def sealed(state: DataFrame, secret: bytes) -> DataFrame:
-    """(session, sealed): nonce, ciphertext and tag of each session's pairs."""
-    keyed = as_pairs(state).withColumn("__key", derived_key(secret, F.col("session")))
-    return keyed.select("session", seal(F.encode(F.to_json("pairs"), "UTF-8"), F.col("__key")).alias("sealed"))
+    """(session, part, sealed): nonce, ciphertext and tag of a session's pairs, PART of them in a row, so that no session is one value."""
+    rows = F.sort_array(F.collect_list(F.struct("seq", "original", "surrogate")))
+    parts = state.groupBy("session", F.floor(F.col("seq") / PART).alias("part")).agg(rows.alias("pairs"))
+    keyed = parts.withColumn("__key", derived_key(secret, F.col("session")))
+    return keyed.select("session", "part", seal(F.encode(F.to_json("pairs"), "UTF-8"), F.col("__key")).alias("sealed"))
 
 
 def unsealed(files: DataFrame, secret: bytes) -> DataFrame:
-    """(session, pairs): no pairs where the data is missing, short, damaged or of another secret."""
+    """(session, pairs) of each sealed row: no pairs where the data is missing, short, damaged or of another secret."""
     keyed = files.select("session", "sealed", derived_key(secret, F.col("session")).alias("__key"))
     text = unseal(F.col("sealed"), F.col("__key"))
-    return keyed.select("session", F.coalesce(F.from_json(text, PAIRS), F.array().cast(PAIRS)).alias("pairs"))
+    return keyed.select("session", F.coalesce(F.from_json(text, SEALED), F.array().cast(SEALED)).alias("pairs"))
+
+
+def load(spark: SparkSession, folder: str, secret: bytes) -> DataFrame:
+    """The latest state that `save` wrote to a folder; an empty one where there is none."""
+    versions = sorted((int(m[1]), p) for p in _list(spark, folder) if (m := re.fullmatch(r"state-(\d+)", p)))
+    if not versions:
+        return spark.createDataFrame([], STATE)
+    opened = unsealed(spark.read.parquet(f"{folder}/{versions[-1][1]}"), secret)
+    return opened.select("session", F.explode("pairs").alias("p")).select("session", "p.original", "p.surrogate", F.col("p.seq").cast("bigint").alias("seq"))
+
+
+def save(state: DataFrame, folder: str, secret: bytes) -> DataFrame:
+    """Writes a state as a new version of a folder and drops those before the last one; returns it as it was read back.
+
+    The last version but one stays until the next: readers of it go on, and a write that breaks off changes nothing.
+    """
+    spark = state.sparkSession
+    old = sorted(int(m[1]) for p in _list(spark, folder) if (m := re.fullmatch(r"state-(\d+)", p)))
+    number = old[-1] + 1 if old else 1
+    sealed(state, secret).write.parquet(f"{folder}/writing-{number}")
+    files, path = _files(spark, folder)
+    files.rename(path(f"{folder}/writing-{number}"), path(f"{folder}/state-{number}"))
+    for n in old[:-1]:
+        files.delete(path(f"{folder}/state-{n}"), True)
+    return load(spark, folder, secret)
+
+
+def _files(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _list(spark: SparkSession, folder: str) -> list[str]:
+    files, path = _files(spark, folder)
+    return [x.getPath().getName() for x in files.listStatus(path(folder))] if files.exists(path(folder)) else []
 
 
 def mapping_counts(state: DataFrame) -> DataFrame:

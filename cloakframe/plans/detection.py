@@ -7,68 +7,96 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakframe.functions.patterns import BY_TYPE
+from cloakframe.config import EngineConfig
+from cloakframe.functions.batches import map_rows
+from cloakframe.functions.patterns import BY_TYPE, PATTERNS
 from cloakframe.operators import passes, scan, service
 from cloakframe.operators.cascade import cascade
 from cloakframe.operators.risk import COMBINATIONS, risk_rows, warning
-from cloakframe.plans.base import EVAL_SQL, evaluation_tables, table
+from cloakframe.plans.base import EVAL_SQL, TEXTS_SQL, evaluation_tables, sql_text, table, texts
 
-#: Types whose expressions mean the same to RE2, so that SQL can check them.
-PLAIN = ("email", "credit_card", "ip_address")
+# --- the patterns in SQL ------------------------------------------------------------------------------
+# RE2 has no look-around: a digit before is asked for by a group, a digit behind is looked at afterwards.
 
+_BEFORE, _BEHIND = r"(?:^|[^\d])", " AND NOT regexp_matches(substr(text, stop + 1, 1), '\\d')"
+#: type: expression with the span as its first group, and what else must hold of the span.
+_SQL_REGEX = {p.type: p.regex if p.group else f"({p.regex})" for p in PATTERNS}
+_SQL_REGEX |= {
+    "phone_us": _BEFORE + r"((?:\+1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})", "phone_uk": _BEFORE + r"((?:0|\+44\s?)(?:\d{4}[-\s]?\d{6}|\d{3}[-\s]?\d{3}[-\s]?\d{4}|\d{2}[-\s]?\d{4}[-\s]?\d{4}))",
+    "phone_intl": _BEFORE + r"(\+[1-9]\d{0,2}[-. ]\d{3,6}[-. ]\d{3,8}(?:[-. ]\d{2,6})?)", "us_bank_number": _BEFORE + r"(\d{9})",
+}
 _D = "CAST(substr(d, {i}, 1) AS INT)"
 _LUHN = "(" + " + ".join(f"({_D.format(i=i)} * 2 - CASE WHEN {_D.format(i=i)} > 4 THEN 9 ELSE 0 END)" if i % 2 else _D.format(i=i) for i in range(1, 17)) + ") % 10 = 0"
-#: Candidates with positions: lengths of the gaps and matches before each match are summed up.
+_ABA = "(" + " + ".join(f"{(3, 7, 1)[(i - 1) % 3]} * {_D.format(i=i)}" for i in range(1, 10)) + ") % 10 = 0"
+_SQL_CHECK = {
+    "credit_card": f" AND {_LUHN}", "us_bank_number": f" AND {_ABA}{_BEHIND}", "ssn": f" AND (regexp_matches(value, '[- ]') OR NOT {_ABA})", "phone_us": _BEHIND, "phone_uk": _BEHIND,
+    "phone_intl": f"{_BEHIND} AND NOT regexp_matches(value, '^\\+(?:1|44)[-. ]')",
+}
+#: Lengths of the gaps and matches before each match are summed up.
 _AT = "coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda g: length(g))), 0)"
 
 
-def sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def candidates_sql(type_: str) -> str:
+    """(doc_id, type, value, start, stop, whole) of one pattern's checked matches; `whole` is where the match starts."""
+    p = sql_text(_SQL_REGEX[type_])
+    first = "start" if BY_TYPE[type_].group == 0 else "pos"
+    return f"""SELECT doc_id, '{type_}' AS type, trim(value) AS value, start, stop, {first} AS whole FROM (
+      SELECT *, (pos + length(hit) - length(value))::INT AS start, (pos + length(hit))::INT AS stop, regexp_replace(value, '[-\\s]', '', 'g') AS d FROM (
+      SELECT doc_id, text, unnest(m) AS hit, unnest(own) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: {_AT}))::INT AS pos
+      FROM (SELECT doc_id, text, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, 1) AS own, regexp_split_to_array(text, {p}) AS gaps FROM texts WHERE regexp_matches(text, {p})))) WHERE trim(value) <> ''{_SQL_CHECK.get(type_, "")}"""
 
 
-def candidates_sql(type_: str) -> str:
-    """(doc_id, type, value, start) of one plain pattern."""
-    p = sql_text(BY_TYPE[type_].regex)
-    rows = f"""SELECT doc_id, '{type_}' AS type, unnest(m) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: {_AT}))::INT AS start
-      FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS gaps FROM documents WHERE regexp_matches(text, {p}))"""
-    if type_ == "credit_card":
-        rows = f"SELECT doc_id, type, value, start FROM (SELECT *, regexp_replace(value, '[-\\s]', '', 'g') AS d FROM ({rows})) WHERE {_LUHN}"
-    return rows
+def _claims() -> str:
+    """Common table expressions: the patterns claim their spans one after the other; `spans` has them all."""
+    out = [TEXTS_SQL]
+    for k, p in enumerate(PATTERNS):
+        free = f" WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.doc_id = c.doc_id AND c.stop > s.start AND c.whole < s.stop)" if k else ""
+        before = f"SELECT * FROM s{k - 1} UNION ALL " if k else ""
+        out.append(f"s{k} AS MATERIALIZED ({before}SELECT doc_id, type, value, start, stop FROM ({candidates_sql(p.type)}) c{free})")
+    return ", ".join([*out, f"spans AS (SELECT * FROM s{len(PATTERNS) - 1})"])
 
 
-SPANS_SQL = " UNION ALL ".join(f"({candidates_sql(t)})" for t in PLAIN)
-_PHONE_RE = r"(?:^|[^\d])((?:\+1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})(?:[^\d]|$)"
+SPANS_SQL = _claims()
 
 
-def _extract(type_: str):
-    return lambda spark, d: scan.extract(table(spark, d, "documents"), type_, "doc_id").select("doc_id", "value", "start", "stop")
+# --- queries ------------------------------------------------------------------------------------------
 
 
-def plain_entities(spark: SparkSession, d: str) -> DataFrame:
-    return scan.explode_entities(scan.scan(table(spark, d, "documents"), types=PLAIN), "doc_id")
+def _extract(type_: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """Checked matches of one pattern over `documents` and literal texts, without claiming."""
+        return scan.extract(texts(spark, d), type_, "doc_id")
 
+    return query
 
-def pii_span_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return plain_entities(spark, d).select("doc_id", "type", F.col("text").alias("value"), "start", "stop")
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """All sixteen patterns, checked and claimed, over `documents` and literal texts."""
+    return scan.explode_entities(scan.scan(texts(spark, d)), "doc_id")
 
 
 def pii_claimed_spans(spark: SparkSession, d: str) -> DataFrame:
-    """All sixteen patterns, checked and claimed."""
-    return scan.explode_entities(scan.scan(table(spark, d, "documents")), "doc_id")
+    return entities(spark, d).select("doc_id", "type", F.col("text").alias("value"), "start", "stop")
+
+
+def pii_span_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each span's positions give its text back, by type."""
+    rows = scan.scan(texts(spark, d)).select("text", F.explode("entities").alias("e"))
+    return rows.groupBy(F.col("e.type").alias("type")).agg(F.count("*").alias("n"), F.count_if(F.trim(F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))) == F.col("e.text")).alias("exact"))
 
 
 def pii_counts_by_type_lang(spark: SparkSession, d: str) -> DataFrame:
-    rows = scan.scan(table(spark, d, "documents"), types=PLAIN).select("lang", F.explode("entities.type").alias("type"))
+    rows = scan.scan(texts(spark, d)).select("lang", F.explode("entities.type").alias("type"))
     return rows.rollup("lang", "type").agg(F.count("*").alias("n"))
 
 
 def pii_docs_semi(spark: SparkSession, d: str) -> DataFrame:
     """Documents with an entity. Entities come from the same row, so the semi join is a filter."""
-    return scan.scan(table(spark, d, "documents"), types=PLAIN).filter(F.size("entities") > 0).select("doc_id", "lang")
+    return scan.scan(texts(spark, d)).filter(F.size("entities") > 0).select("doc_id", "lang")
 
 
 def clean_docs_anti(spark: SparkSession, d: str) -> DataFrame:
-    return scan.scan(table(spark, d, "documents"), types=PLAIN).filter(F.size("entities") == 0).select("doc_id", "lang")
+    return scan.scan(texts(spark, d)).filter(F.size("entities") == 0).select("doc_id", "lang")
 
 
 def labelled_clean_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +107,7 @@ def labelled_clean_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_dedup_best(spark: SparkSession, d: str) -> DataFrame:
     best = Window.partitionBy("doc_id", "text").orderBy(F.desc("score"), "ord")
-    return plain_entities(spark, d).withColumn("r", F.row_number().over(best)).filter("r = 1").select("doc_id", "text", "type", "start")
+    return entities(spark, d).withColumn("r", F.row_number().over(best)).filter("r = 1").select("doc_id", "text", "type", "start")
 
 
 def quasi_id_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -87,27 +115,57 @@ def quasi_id_risk(spark: SparkSession, d: str) -> DataFrame:
     return risk_rows(keys, "idx")
 
 
+def text_risks(spark: SparkSession, d: str) -> DataFrame:
+    """Combinations of the types that the patterns find in a text."""
+    return risk_rows(entities(spark, d), "doc_id")
+
+
 _COMBO_ROWS = ", ".join(f"({sql_text(n)}, '{level}', {least}, {len(fields)}, '{f}')" for n, level, least, fields, _, _ in COMBINATIONS for f in fields)
 
 
 def cascade_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The whole cascade over all conversation turns, one row for each confirmed entity."""
-    rows = cascade(table(spark, d, "conversations"))
-    return rows.select("conv_id", "turn", F.posexplode_outer("confirmed").alias("ord", "e")).filter("e IS NOT NULL").select("conv_id", "turn", "ord", "e.*")
+    """The whole cascade over all documents and literal texts, one row for each confirmed entity."""
+    return cascade(texts(spark, d)).select("doc_id", F.posexplode("confirmed").alias("ord", "e")).select("doc_id", "ord", "e.*")
 
 
 def risk_warnings(spark: SparkSession, d: str) -> DataFrame:
-    rows = cascade(table(spark, d, "documents"))
+    rows = cascade(texts(spark, d))
     return rows.select("doc_id", F.size("risks").alias("n_risks"), warning(F.col("risks")).alias("warning"))
 
 
+#: Texts for the cascade with what it must give: (text, types switched off, asks for a service, confirmed, skipped).
+CASES: list[tuple[str, bool, str, str]] = [
+    ("My name is Ashley Wise and I live in Springfield", False, "PERSON:Ashley Wise|GPE:Springfield", ""),
+    ("Give me the tax benefits of Wyoming", False, "", "GPE:Wyoming"),
+    ("What restaurants are near London? I grew up in London", False, "GPE:London|GPE:London", ""),
+    ("What restaurants are near London", True, "", "GPE:London"),
+    ("Sarah Mitchell wrote. Then Sarah left", False, "PERSON:Sarah Mitchell", ""),
+    ("She works for the phoenix group", False, "ORG:phoenix", ""),
+    ("The target corporation hired Marcus Ellison", False, "ORG:target|PERSON:Marcus Ellison", ""),
+    ("Contact Acme Corp at acme.sales@example.com", False, "email:acme.sales@example.com|ORG:Acme Corp", ""),
+    ("a Abhi company mailed abhiram@example.com", False, "email:abhiram@example.com|PERSON:Abhi", ""),
+    ("SSN 123-45-6789 is Jane Doe's, born 03/14/1990", False, "ssn:123-45-6789|dob:03/14/1990|PERSON:Jane Doe", ""),
+    ("From the ashes of Phoenix", False, "GPE:Phoenix", ""),
+    ("He was treated at Mercy Hospital near Lake Erie", False, "FAC:Mercy Hospital|LOC:Lake Erie", ""),
+    ("I work at Initech in Austin", False, "ORG:Initech|GPE:Austin", ""),
+    ("The weather is nice today", False, "", ""),
+]
+
+
+def cascade_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Literal texts through the whole cascade: what is confirmed and what is skipped, sorted."""
+    rows = spark.createDataFrame([(i, t, s) for i, (t, s, *_) in enumerate(CASES)], "id int, text string, asks boolean")
+    shown = lambda c: F.array_join(F.sort_array(F.transform(c, lambda e: F.concat(e["type"], F.lit(":"), e["text"]))), "|")
+    return cascade(rows, service="asks", config=EngineConfig(salt="cases")).select("id", shown("confirmed").alias("confirmed"), shown("skipped").alias("skipped"))
+
+
 def service_query_flag(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", service.is_service_query(F.col("text")).alias("is_service"))
 
 
 def service_fuzz(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", service.fuzz_addresses(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")).alias("f"))
-    return rows.filter(F.size("f.pairs") > 0).select("doc_id", F.explode("f.pairs").alias("p")).select("doc_id", "p.original", "p.surrogate")
+    rows = texts(spark, d).select("doc_id", F.explode(service.address_pairs(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string"))).alias("p"))
+    return rows.select("doc_id", "p.original", "p.surrogate")
 
 
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
@@ -120,39 +178,49 @@ def query_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structural_org(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", passes.structural_orgs(F.coalesce("text", F.lit("")), F.array().cast("array<struct<text:string,start:int,end:int,type:string,score:double,source:string>>")).alias("e"))
-    return rows.select("doc_id", F.explode("e.text").alias("value"))
+    found = lambda key, text: ((key, e.text) for e in passes.structural_orgs(text or "", []))
+    return map_rows(texts(spark, d), ["doc_id", "text"], "doc_id long, value string", found)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_email_extract": _extract("email"), "pii_ip_extract": _extract("ip_address"), "pii_card_extract": _extract("credit_card"), "pii_phone_extract": _extract("phone_us"),
     "pii_span_offsets": pii_span_offsets, "pii_claimed_spans": pii_claimed_spans, "pii_counts_by_type_lang": pii_counts_by_type_lang, "pii_docs_semi": pii_docs_semi, "clean_docs_anti": clean_docs_anti,
-    "labelled_clean_docs": labelled_clean_docs, "entity_dedup_best": entity_dedup_best, "quasi_id_risk": quasi_id_risk, "cascade_entities": cascade_entities, "risk_warnings": risk_warnings,
+    "labelled_clean_docs": labelled_clean_docs, "entity_dedup_best": entity_dedup_best, "quasi_id_risk": quasi_id_risk, "text_risks": text_risks, "cascade_entities": cascade_entities, "cascade_cases": cascade_cases, "risk_warnings": risk_warnings,
     "service_query_flag": service_query_flag, "service_fuzz": service_fuzz, "clause_split": clause_split, "query_frame": query_frame, "structural_org": structural_org,
 }
-QUERIES |= {f"pattern_{t}": _extract(t) for t in BY_TYPE if t not in (*PLAIN, "phone_us")}
+_NAMED = {"email": "pii_email_extract", "ip_address": "pii_ip_extract", "credit_card": "pii_card_extract", "phone_us": "pii_phone_extract"}
+QUERIES |= {f"pattern_{t}": _extract(t) for t in BY_TYPE if t not in _NAMED}
 
-_one = lambda t: f"SELECT doc_id, value, start, (start + length(value))::INT AS stop FROM ({candidates_sql(t)})"
 _CLAUSES = f"SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, {sql_text(passes.CLAUSE_END)}), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), lambda c: c <> '') AS cs FROM conversations"
-_HITS = f"(SELECT DISTINCT doc_id FROM ({SPANS_SQL}))"
+_HITS = "(SELECT DISTINCT doc_id FROM spans)"
+_COMBOS = f"combos(combination, risk_level, least, n_all, type) AS (VALUES {_COMBO_ROWS})"
+
+
+def _risk_sql(key: str, rows: str) -> str:
+    return f"""SELECT {key}, combination, risk_level, count(DISTINCT type)::INT AS n_fields, count(DISTINCT type) = n_all AS all_fields_matched
+      FROM {rows} JOIN combos USING (type) GROUP BY {key}, combination, risk_level, least, n_all HAVING count(DISTINCT type) >= least"""
+
+
+_ADDRESS = sql_text(service.ADDRESS)
+_SORTED = lambda x: "|".join(sorted(x.split("|"))) if x else ""
 ORACLE_SQL: dict[str, str] = {
-    "pii_email_extract": _one("email"),
-    "pii_ip_extract": _one("ip_address"),
-    "pii_card_extract": _one("credit_card"),
-    "pii_span_offsets": f"SELECT doc_id, type, value, start, (start + length(value))::INT AS stop FROM ({SPANS_SQL})",
-    "pii_counts_by_type_lang": f"SELECT lang, type, count(*) AS n FROM ({SPANS_SQL}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, type)",
-    "pii_docs_semi": f"SELECT doc_id, lang FROM documents SEMI JOIN {_HITS} USING (doc_id)",
-    "clean_docs_anti": f"SELECT doc_id, lang FROM documents ANTI JOIN {_HITS} USING (doc_id)",
-    "labelled_clean_docs": f"SELECT quality, toxic, count(*) AS n FROM labels ANTI JOIN {_HITS} USING (doc_id) GROUP BY quality, toxic",
-    "entity_dedup_best": f"SELECT doc_id, value AS text, type, start FROM ({SPANS_SQL}) QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY start) = 1",
-    "quasi_id_risk": f"""WITH {EVAL_SQL}, combos(combination, risk_level, least, n_all, type) AS (VALUES {_COMBO_ROWS})
-      SELECT idx, combination, risk_level, count(DISTINCT type)::INT AS n_fields, count(DISTINCT type) = n_all AS all_fields_matched
-      FROM keys JOIN combos USING (type) GROUP BY idx, combination, risk_level, least, n_all HAVING count(DISTINCT type) >= least""",
+    _NAMED.get(t, f"pattern_{t}"): f"WITH {TEXTS_SQL} SELECT doc_id, value, start, stop FROM ({candidates_sql(t)})" for t in BY_TYPE
+} | {
+    "pii_claimed_spans": f"WITH {SPANS_SQL} SELECT * FROM spans",
+    "pii_span_offsets": f"WITH {SPANS_SQL} SELECT type, count(*) AS n, count(*) AS exact FROM spans GROUP BY type",
+    "pii_counts_by_type_lang": f"WITH {SPANS_SQL} SELECT lang, type, count(*) AS n FROM spans JOIN texts USING (doc_id) GROUP BY ROLLUP (lang, type)",
+    "pii_docs_semi": f"WITH {SPANS_SQL} SELECT doc_id, lang FROM texts SEMI JOIN {_HITS} USING (doc_id)",
+    "clean_docs_anti": f"WITH {SPANS_SQL} SELECT doc_id, lang FROM texts ANTI JOIN {_HITS} USING (doc_id)",
+    "labelled_clean_docs": f"WITH {SPANS_SQL} SELECT quality, toxic, count(*) AS n FROM labels ANTI JOIN {_HITS} USING (doc_id) GROUP BY quality, toxic",
+    "entity_dedup_best": f"WITH {SPANS_SQL} SELECT doc_id, value AS text, type, start FROM spans QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY start) = 1",
+    "quasi_id_risk": f"WITH {EVAL_SQL}, {_COMBOS} {_risk_sql('idx', 'keys')}",
+    "text_risks": f"WITH {SPANS_SQL}, {_COMBOS} {_risk_sql('doc_id', 'spans')}",
+    "cascade_cases": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {sql_text(_SORTED(c))}, {sql_text(_SORTED(s))})" for i, (_, _, c, s) in enumerate(CASES)) + ") AS t(id, confirmed, skipped)",
     "service_query_flag": f"SELECT conv_id, turn, NOT regexp_matches(coalesce(text, ''), {sql_text(service.SENSITIVE_REGEX)}) AND regexp_matches(coalesce(text, ''), {sql_text(service.SERVICE_REGEX)}) AS is_service FROM conversations",
+    "service_fuzz": f"""WITH {TEXTS_SQL}, a AS (SELECT doc_id, {", ".join(f"unnest(regexp_extract_all(text, {_ADDRESS}, {k})) AS {n}" for k, n in enumerate(("whole", "number", "street", "city", "state")))} FROM texts)
+      SELECT DISTINCT doc_id, trim(whole) AS original, greatest(1, number::HUGEINT + CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR || '|' || whole), 1, 1))::INT % 2 = 1 THEN 1 ELSE -1 END)::VARCHAR || ' ' || trim(street)
+        || CASE WHEN trim(city) <> '' THEN ', ' || trim(city) ELSE '' END || CASE WHEN trim(state) <> '' THEN ', ' || trim(state) ELSE '' END AS surrogate FROM a""",
     "clause_split": f"SELECT conv_id, turn, (generate_subscripts(cs, 1) - 1)::INT AS ord, unnest(cs) AS clause FROM ({_CLAUSES})",
     "query_frame": f"SELECT conv_id, count(*) FILTER (regexp_matches(clause, {sql_text(passes.QUERY_FRAME)})) AS asking, count(*) AS clauses FROM (SELECT conv_id, unnest(cs) AS clause FROM ({_CLAUSES})) GROUP BY conv_id",
-    "structural_org": f"SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(passes.STRUCTURAL)}, 1)) AS value FROM documents",
-    "pii_phone_extract": f"""SELECT doc_id, trim(value) AS value, start, (start + length(value))::INT AS stop FROM (
-      SELECT doc_id, unnest(own) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: {_AT} + CASE WHEN starts_with(m[i], own[i]) THEN 0 ELSE 1 END))::INT AS start
-      FROM (SELECT doc_id, regexp_extract_all(text, {sql_text(_PHONE_RE)}) AS m, regexp_extract_all(text, {sql_text(_PHONE_RE)}, 1) AS own, regexp_split_to_array(text, {sql_text(_PHONE_RE)}) AS gaps FROM documents WHERE regexp_matches(text, {sql_text(_PHONE_RE)})))""",
+    "structural_org": f"WITH {TEXTS_SQL} SELECT doc_id, trim(unnest(regexp_extract_all(text, {sql_text(passes.STRUCTURAL)}, 1))) AS value FROM texts",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.operators import attack, evaluate
-from cloakframe.plans.base import EVAL_SQL, evaluation_tables, table
+from cloakframe.plans.base import EVAL_SQL, answer_tables, evaluation_tables, table
 from cloakframe.streaming.sessions import windowed_types
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,45 @@ def paired_ttest(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.paired_t_test(evaluation_tables(spark, d)["questions"], "x", "y").select("n", "a_mean", "a_std", "b_mean", "b_std", "mean_diff", "t", "significant")
 
 
+def _answers(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """Over literal answer rows and their parsed keys."""
+        answers, keys = answer_tables(spark)
+        return f(answers, evaluate.key_values(keys))
+
+    return query
+
+
+def _merged(answers: DataFrame, keys: DataFrame) -> DataFrame:
+    """Scores by type, with phones and postal codes of all kinds as one."""
+    return evaluate.per_type(evaluate.found_values(answers), keys, evaluate.detail_rows(answers))
+
+
+def _macro(answers: DataFrame, keys: DataFrame) -> DataFrame:
+    return evaluate.macro(evaluate.question_scores(answers, evaluate.found_values(answers), keys))
+
+
+def _t_test(answers: DataFrame, keys: DataFrame) -> DataFrame:
+    rows = answers.select(F.col("bertscore_ss.f1").alias("x"), F.col("bertscore_presidio.f1").alias("y"))
+    return evaluate.paired_t_test(rows, "x", "y").select("n", "mean_diff", "t")
+
+
+def attack_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What the attacking model is asked about each literal answer."""
+    answers, _ = answer_tables(spark)
+    types = attack.detail_types(F.col("pii_detail"))
+    whole = attack.prompt(F.col("sanitized_input"), types)
+    return answers.select("idx", attack.types_list(types).alias("types"), (whole.contains(attack.types_list(types)) & whole.endswith(F.col("sanitized_input"))).alias("asked"))
+
+
+def attack_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """The whole experiment over the literal answers, against a model that knows one name."""
+    answers, _ = answer_tables(spark)
+    reply = F.lit('{"recovery_attempts": [{"guessed_original": "ann lee", "pii_type": "PERSON", "confidence": 0.9}], "overall_assessment": "ok"}')
+    rows = attack.run_experiment(answers, lambda prompt: reply)
+    return rows.select("idx", F.col("own.total_targeted").alias("targeted"), F.col("own.recovered_count").alias("recovered"))
+
+
 def events_risk_window(spark: SparkSession, d: str) -> DataFrame:
     return windowed_types(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -86,6 +125,19 @@ QUERIES: dict[str, Query] = {
     "attack_summary": attack_summary,
     "attack_by_type": attack_by_type,
     "events_risk_window": events_risk_window,
+    "answers_counts": _answers(lambda a, k: evaluate.answer_counts(a, k)),
+    "answers_macro": _answers(_macro),
+    "answers_per_type": _answers(_merged),
+    "answers_times": _answers(lambda a, k: evaluate.timing_means(a)),
+    "answers_restored": _answers(lambda a, k: evaluate.restored(a).select("idx", "restored")),
+    "answers_restore_leaks": _answers(lambda a, k: evaluate.restore_leaks(a)),
+    "answers_text_leaks": _answers(evaluate.text_leaks),
+    "answers_scores": _answers(lambda a, k: evaluate.score_means(a)),
+    "answers_banner": _answers(evaluate.evaluation_banner),
+    "answers_baseline_status": _answers(lambda a, k: evaluate.data_status(a)),
+    "answers_t_test": _answers(_t_test),
+    "attack_prompts": attack_prompts,
+    "attack_experiment": attack_experiment,
 }
 
 _P = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END"
@@ -144,4 +196,18 @@ ORACLE_SQL: dict[str, str] = {
     "attack_by_type": f"""WITH {_ATTACK}, a(type) AS (VALUES {_ALL_TYPES}), r AS (SELECT type, (SELECT count(DISTINCT idx) FROM tg WHERE tg.type = a.type) AS targeted, (SELECT count(*) FROM hit WHERE hit.type = a.type) AS recovered FROM a)
       SELECT *, CASE WHEN targeted > 0 THEN round(recovered / targeted, 4) ELSE 0.0 END AS rate FROM r""",
     "events_risk_window": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    # By hand, from the rows of `base.ANSWERS`.
+    "answers_counts": "SELECT 6::BIGINT AS questions, 5::BIGINT AS answered, 1::BIGINT AS empty, 0.8333::DOUBLE AS answer_rate, 7::BIGINT AS found, 10::BIGINT AS in_key, 1.1667::DOUBLE AS average_found, 1.6667::DOUBLE AS average_key",
+    "answers_macro": "SELECT 6::BIGINT AS questions, 1.0::DOUBLE AS precision, 0.8611::DOUBLE AS recall, 0.9111::DOUBLE AS f1, 0.8611::DOUBLE AS accuracy, 0.1389::DOUBLE AS error",
+    "answers_per_type": "SELECT type, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, p::DOUBLE AS precision, r::DOUBLE AS recall, f::DOUBLE AS f1 FROM (VALUES ('GPE', 1, 0, 0, 1, 1, 1), ('phone', 1, 0, 1, 1, 0.5, 0.6667), ('postal_code', 2, 0, 0, 1, 1, 1), ('ORG', 0, 0, 1, 1, 0, 0), ('PERSON', 3, 0, 0, 1, 1, 1), ('email', 1, 0, 0, 1, 1, 1)) AS t(type, tp, fp, fn, p, r, f)",
+    "answers_times": "SELECT 5::BIGINT AS n, 2.0::DOUBLE AS pattern_scan_ms, 20.0::DOUBLE AS entity_trace_ms, 0.2::DOUBLE AS context_guard_ms, 1.0::DOUBLE AS surrogate_gen_ms, 0.0::DOUBLE AS llm_call_ms, 23.2::DOUBLE AS total_ms",
+    "answers_restored": "SELECT idx::BIGINT AS idx, restored FROM (VALUES (0, 'Hi Ann! a@b.org'), (1, '90210 it is'), (2, 'Falk, Bo Lundner'), (3, ''), (4, 'SW1A 1AA'), (5, 'Cleo Marsh, hi')) AS t(idx, restored)",
+    "answers_restore_leaks": "SELECT 6::BIGINT AS questions, 1::BIGINT AS leaking, 1::BIGINT AS leaks, 0.1667::DOUBLE AS rate, 0.8333::DOUBLE AS precision",
+    "answers_text_leaks": "SELECT 6::BIGINT AS questions, 2::BIGINT AS leaking, 3::BIGINT AS leaks, 0.3333::DOUBLE AS rate, 0.7333::DOUBLE AS accuracy, 0.2667::DOUBLE AS error",
+    "answers_scores": "SELECT 0.8::DOUBLE AS own_precision, 0.8::DOUBLE AS own_recall, 0.8::DOUBLE AS own_f1, 0.7::DOUBLE AS baseline_precision, 0.6::DOUBLE AS baseline_recall, 0.6167::DOUBLE AS baseline_f1",
+    "answers_banner": "SELECT 0.7333::DOUBLE AS accuracy, 0.8333::DOUBLE AS precision, 'significant leaks' AS status",
+    "answers_baseline_status": "SELECT 'partial' AS status, 5::BIGINT AS with_data, 6::BIGINT AS total",
+    "answers_t_test": "SELECT 2::BIGINT AS n, 0.15::DOUBLE AS mean_diff, 3.0::DOUBLE AS t",
+    "attack_prompts": "SELECT idx::BIGINT AS idx, types, true AS asked FROM (VALUES (0, '- person''s name' || chr(10) || '- email'), (1, '- postal code' || chr(10) || '- phone'), (2, '- person''s name'), (3, '- none'), (4, '- postal code'), (5, '- person''s name')) AS t(idx, types)",
+    "attack_experiment": "SELECT idx::BIGINT AS idx, targeted::INT AS targeted, recovered::INT AS recovered FROM (VALUES (0, 2, 1), (1, 2, 0), (2, 1, 0), (3, 0, 0), (4, 1, 0), (5, 1, 0)) AS t(idx, targeted, recovered)",
 }

@@ -5,6 +5,7 @@ ENTITIES = f"array<{ENTITY}>"
 PAIR = "struct<original:string,surrogate:string>"
 PAIRS = f"array<{PAIR}>"
 BASELINE = "array<struct<value:string,type:string,score:double>>"
+TIMINGS = "struct<pattern_scan_ms:double,entity_trace_ms:double,context_guard_ms:double,surrogate_gen_ms:double,llm_call_ms:double,total_ms:double>"
 SCORES = "struct<precision:double,recall:double,f1:double>"
 
 #: One row of a batch run; every column may be null.

@@ -11,43 +11,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cloakframe.config import EngineConfig
-from cloakframe.operators.rewrite import mask
+from cloakframe.functions.spanlist import best_by_text
+from cloakframe.functions.surrogates import pairs_of
+from cloakframe.operators.cascade import Cascade
+from cloakframe.operators.rewrite import replaced
+from cloakframe.operators.service import fuzz_addresses, is_service_query
+from cloakframe.schema import PAIRS
 
 OUT = "session string, turn bigint, sanitized string, n_pairs int"
-#: Time without a message after which a session's state goes.
-IDLE_MS = 24 * 3600 * 1000
-
-
-def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Turns of one session in order: originals that are known keep their surrogate, new ones take theirs, or one with a suffix if it is taken."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    known: dict[str, str] = dict(json.loads(state.get[0])) if state.exists else {}
-    rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
-    out = []
-    for turn, text, pairs in zip(rows["turn"], rows["text"], rows["pairs"]):
-        for p in pairs:
-            if p["original"] not in known:
-                s, taken, n = p["surrogate"], set(known.values()), len(known)
-                known[p["original"]] = s if s not in taken else f"{s}_{n:04x}"
-        clean = text
-        for o in sorted(known, key=len, reverse=True):
-            clean = clean.replace(o, known[o])
-        out.append((key[0], int(turn), clean, len(known)))
-    state.update((json.dumps(list(known.items())),))
-    state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame(out, columns=["session", "turn", "sanitized", "n_pairs"])
-
-
-def mask_stream(messages: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
+
+
+def _masker(config: EngineConfig, idle_ms: int | None):
+    stages, salt = Cascade(config), config.salt
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Turns of one session in order: originals that are known keep their surrogate, new ones get one that isn't taken."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known: dict[str, str] = dict(json.loads(state.get[0])) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
+        out = []
+        for turn, text, fuzzed, service in zip(rows["turn"], rows["text"], rows["fuzzed"], rows["is_service"]):
+            moved = [p["surrogate"] for p in fuzzed]
+            found = best_by_text(stages.find(text, [*known.values(), *moved], bool(service)).confirmed)
+            pairs = pairs_of([(e.type, e.text) for e in found], key[0], salt, known)
+            known.update(pairs)
+            out.append((key[0], int(turn), replaced(text, pairs), len(known)))
+        state.update((json.dumps(list(known.items())),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["session", "turn", "sanitized", "n_pairs"])
+
+    return run
+
+
+def mask_stream(messages: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text", config: EngineConfig = EngineConfig(), idle_ms: int | None = None) -> DataFrame:
     """(session, turn, sanitized, n_pairs) of each message of a stream; null texts are empty ones.
 
-    Detection is a narrow projection; only pairs and texts go to the stateful step, which is keyed by session.
+    A session's pairs are its state, and stay until it is flushed: replies to it can always be restored. With `idle_ms` a session without a
+    message for so long is forgotten; write its pairs elsewhere before, if replies may still come.
     """
-    rows = messages.select(F.col(session).cast("string").alias("session"), F.col(turn).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("text"))
-    found = mask(rows, "session", "text", config).select("session", "turn", "text", "pairs")
-    return found.groupBy("session").applyInPandasWithState(_apply, OUT, "pairs string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = messages.select(F.coalesce(F.col(session).cast("string"), F.lit("")).alias("session"), F.col(turn).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("whole"))
+    rows = rows.withColumn("is_service", is_service_query(F.col("whole")))
+    none = F.struct(F.col("whole").alias("text"), F.array().cast(PAIRS).alias("pairs"))
+    rows = rows.withColumn("f", F.when(F.col("is_service"), fuzz_addresses(F.col("whole"), F.col("session"))).otherwise(none))
+    rows = rows.select("session", "turn", "is_service", F.col("f.text").alias("text"), F.col("f.pairs").alias("fuzzed"))
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("session").applyInPandasWithState(_masker(config, idle_ms), OUT, "pairs string", "append", timeout)
 
 
 def windowed_types(events: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
