@@ -44,8 +44,15 @@ _PART = re.compile(r"[\w'’&-]+")
 _TITLE = frozenset("Capt Dr Lord Mr Mrs Ms Prof Professor Rev Sgt Sir".split())
 _PERSON_BEFORE = re.compile(r"(?:\bname(?: is|:|['’]s)|\bnamed|\bcalled|\bi am|\bi['’]m|\bthis is|\bcontact|\bcall|\bdear|\bregards,|\bsincerely,|\bpatient|\bclient|\bcolleague|\bboss|\bmanager|\bfriend|\bbrother|\bsister|\bwife|\bhusband|\bson|\bdaughter|\bmother|\bfather|\bdoctor|\bfor|\bby|\bto|\bwith|\band)\s*\Z", re.I)
 _ORG_BEFORE = re.compile(r"(?:\bwork(?:s|ed|ing)? (?:at|for)|\bjob at|\bemploye[ed]+ (?:at|by|of)|\bemployer(?: is|:)?|\boffer from|\baccount (?:at|with)|\bcustomer of|\bintern(?:ed|ing|ship)? at|\bcompany|\bengineer at|\bmanager at|\bposition at|\bjoin(?:ed|ing)?)\s*\Z", re.I)
+_LEFT = re.compile(r".*[^\w'’:,]", re.S)
 _PLACE_BEFORE = re.compile(r"(?:\b(?:live|lives|lived|living|born|raised|based|located|reside|resides|residing|stay|staying|grew up) (?:in|at|near)|\bmov(?:e|ed|ing) to|\bfrom|\bflying to|\bflight to|\btravel(?:ing|led)? to|\btrip to|\bvisit(?:ing|ed)?|\bhometown(?: is|:)?|\bin|\bnear)\s*\Z", re.I)
 
+#: The last words of what the expressions above ask for: without one of them none can match.
+_CUES = frozenset(
+    "is name: name's name’s named called am i'm i’m contact call dear regards, sincerely, patient client colleague boss manager friend brother sister wife husband son daughter mother father doctor for by to with and "
+    "at of employer employer: from company join joined in near visit visited visiting hometown hometown:".split()
+)
+
 
 class Recognizer(Protocol):
     """Finds entities of a text (type = label). It is sent to the workers, so models are best loaded at the first use."""
@@ -123,6 +130,9 @@ class Gazetteer:
         """Names that no list has: by the words before the first of them."""
         if words[i] in COMMON or len(words[i]) < 2 or words[i].isupper() and len(words[i]) > 5:
             return None
+        last = before.rstrip().rpartition(" ")[2].lower()
+        if last not in _CUES and (last.isalpha() or _LEFT.sub("", last) not in _CUES):
+            return None
         j = self._name_end(words, i, n)
         if _ORG_BEFORE.search(before):
             return "ORG", i, j

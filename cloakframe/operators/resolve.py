@@ -70,7 +70,7 @@ def best_span(text: str, query: str, least: float = 0.0) -> tuple[float, int, in
     for c in set(q):
         upto = np.concatenate([[0], np.cumsum(letters == ord(c))])
         common += np.minimum(upto[ends] - upto[np.minimum(starts, ends)], q.count(c))
-    bound = 200.0 * common / (n + common)
+    bound = 200.0 * common / np.maximum(np.minimum(n, ends - starts) + common, 1)
     found = (0.0, -1, -1)
     for a, most in zip(starts[bound >= least].tolist(), bound[bound >= least].tolist()):
         if most > found[0] and (score := likeness(q, low[a : a + 2 * len(query)])) > found[0]:

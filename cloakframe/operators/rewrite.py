@@ -13,7 +13,7 @@ from cloakframe.functions.spanlist import Claimed, Entity
 from cloakframe.functions.surrogates import REPEATABLE, draw, pairs_of
 from cloakframe.operators.cascade import Cascade
 from cloakframe.operators.risk import risks
-from cloakframe.operators.service import fuzz_addresses, is_service_query
+from cloakframe.operators.service import asks_for_service, moved_addresses
 from cloakframe.schema import ENTITIES, PAIRS
 
 #: Salted attempts at an unused surrogate in a session before a suffix makes it one.
@@ -34,27 +34,30 @@ def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig =
     alone, so all rows of a session agree without meeting, unless two originals of different rows draw the same one: `surrogate_rows`
     settles those. `known` names an array column of pairs that are kept. Moved addresses are left alone with `skip_fuzzed`. Null texts stay null.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    asks = df.withColumn("is_service", is_service_query(F.col(text)))
-    none = F.struct(whole.alias("text"), F.array().cast(PAIRS).alias("pairs"))
-    asks = asks.withColumn("__fuzzed", F.when(F.col("is_service"), fuzz_addresses(whole, F.col(session).cast("string"))).otherwise(none)).withColumn("__key", F.col(session).cast("string"))
     engine, salt = Cascade(config, **stages), config.salt
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        found, pairs, clean = [], [], []
+        found, pairs, clean, services, moves = [], [], [], [], []
         olds = batch.column(known).to_pylist() if known else [None] * batch.num_rows
-        for own, work, service, name, old in zip(batch.column(text).to_pylist(), batch.column("__fuzzed").to_pylist(), batch.column("is_service").to_pylist(), batch.column("__key").to_pylist(), olds):
-            f = engine.find(work["text"], [p["surrogate"] for p in work["pairs"]] if skip_fuzzed else None, service)
+        for own, name, old in zip(batch.column(text).to_pylist(), batch.column("__key").to_pylist(), olds):
+            service, name = asks_for_service(own), name or ""
+            moved = moved_addresses(own, name) if service else {}
+            work = replaced(own or "", moved)
+            f = engine.find(work, moved.values() if skip_fuzzed else None, service)
             f = f._replace(confirmed=spanlist.best_by_text(f.confirmed))
             kept = {p["original"]: p["surrogate"] for p in old or ()}
-            p = pairs_of([(e.type, e.text) for e in f.confirmed], name or "", salt, kept)
+            p = pairs_of([(e.type, e.text) for e in f.confirmed], name, salt, kept)
             found.append(f)
+            services.append(service)
+            moves.append(list(moved.items()))
             pairs.append([x for x in p.items() if x[0] not in kept])
-            clean.append(None if own is None else replaced(work["text"], p))
-        return [*(entity_array([f[k] for f in found]) for k in range(3)), pa.array([f.types for f in found], pa.list_(pa.string())), list_array(pairs, PAIR_TYPE), pa.array(clean, pa.string())]
+            clean.append(None if own is None else replaced(work, p))
+        types = pa.array([f.types for f in found], pa.list_(pa.string()))
+        return [*(entity_array([f[k] for f in found]) for k in range(3)), types, list_array(pairs, PAIR_TYPE), pa.array(clean, pa.string()), pa.array(services, pa.bool_()), list_array(moves, PAIR_TYPE)]
 
-    out = with_columns(asks, {"confirmed": ENTITIES, "uncertain": ENTITIES, "skipped": ENTITIES, "__types": "array<string>", "pairs": PAIRS, "sanitized": "string"}, run)
-    return out.withColumns({"risks": risks(F.col("__types")), "fuzzed": F.col("__fuzzed.pairs")}).drop("__fuzzed", "__types", "__key")
+    new = {"confirmed": ENTITIES, "uncertain": ENTITIES, "skipped": ENTITIES, "__types": "array<string>", "pairs": PAIRS, "sanitized": "string", "is_service": "boolean", "fuzzed": PAIRS}
+    out = with_columns(df.withColumn("__key", F.col(session).cast("string")), new, run)
+    return out.withColumn("risks", risks(F.col("__types"))).drop("__types", "__key")
 
 
 def with_pairs(df: DataFrame, session: str, entities: str = "entities", text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,22 @@ _STREET = "|".join(w for w in STREET_WORDS if w not in ("alley", "chase", "garde
 ADDRESS = rf"(?i)\b(\d+)\s+([a-z0-9 ]+?(?:{_STREET}|pkwy)\.?)(?:\s*,\s*([a-z][a-z\s]{{1,30}}?))?(?:\s*,\s*([a-z]{{2}}))?\b"
 
 
+#: Each expression with the plain words of which a match holds one; none where an expression has other than plain words there.
+_GATED = [(re.compile(f"(?i){x}"), [g for g in (m.split("|") for m in re.findall(r"\(\?:([^()]*)\)", x)) if all(re.fullmatch("[a-z ]+", w) for w in g)]) for x in SERVICE]
+_SENSITIVE = re.compile(SENSITIVE_REGEX)
+
+
+def asks_for_service(text: str | None) -> bool:
+    """`is_service_query` of one text: the expressions are tried where the text has their words."""
+    if not text:
+        return False
+    low = text.lower()
+    for regex, groups in _GATED:
+        if all(any(w in low for w in g) for g in groups) and regex.search(text):
+            return not _SENSITIVE.search(text)
+    return False
+
+
 def is_service_query(text: Column) -> Column:
     """Whether a text asks for a service and touches no sensitive topic; a null text doesn't."""
     whole = F.coalesce(text, F.lit(""))
@@ -71,6 +90,20 @@ def address_pairs(text: Column, seed: Column) -> Column:
     return F.when(text.rlike(r"\d\s+[A-Za-z0-9]"), found).otherwise(F.array()).cast(PAIRS)
 
 
+_ADDRESS = re.compile(ADDRESS)
+
+
+def moved_addresses(text: str, seed: str) -> dict[str, str]:
+    """`address_pairs` of one text."""
+    out = {}
+    for m in _ADDRESS.finditer(text):
+        up = int(hashlib.md5(f"{seed}|{m[0]}".encode()).hexdigest()[0], 16) % 2 * 2 - 1
+        end = int(m[1][-1])
+        number = str(max(1, int(m[1]) + up)) if len(m[1]) < 30 else m[1][:-1] + str(end + (1 if end == 0 else -1 if end == 9 else up))
+        out[m[0].strip()] = ", ".join([f"{number} {m[2].strip()}", *(x.strip() for x in (m[3], m[4]) if x and x.strip())])
+    return out
+
+
 def fuzz_addresses(text: Column, seed: Column) -> Column:
     """struct<text, pairs>: the text with each address moved next door, longest address first."""
     return let(address_pairs(text, seed), lambda p: F.struct(replace_pairs(text, p).alias("text"), p.alias("pairs")))

@@ -15,8 +15,7 @@ from cloakframe.functions.spanlist import best_by_text
 from cloakframe.functions.surrogates import pairs_of
 from cloakframe.operators.cascade import Cascade
 from cloakframe.operators.rewrite import replaced
-from cloakframe.operators.service import fuzz_addresses, is_service_query
-from cloakframe.schema import PAIRS
+from cloakframe.operators.service import asks_for_service, moved_addresses
 
 OUT = "session string, turn bigint, sanitized string, n_pairs int"
 
@@ -32,9 +31,11 @@ def _masker(config: EngineConfig, idle_ms: int | None):
         known: dict[str, str] = dict(json.loads(state.get[0])) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
         out = []
-        for turn, text, fuzzed, service in zip(rows["turn"], rows["text"], rows["fuzzed"], rows["is_service"]):
-            moved = [p["surrogate"] for p in fuzzed]
-            found = best_by_text(stages.find(text, [*known.values(), *moved], bool(service)).confirmed)
+        for turn, whole in zip(rows["turn"], rows["text"]):
+            service = asks_for_service(whole)
+            moved = moved_addresses(whole, key[0]) if service else {}
+            text = replaced(whole, moved)
+            found = best_by_text(stages.find(text, [*known.values(), *moved.values()], service).confirmed)
             pairs = pairs_of([(e.type, e.text) for e in found], key[0], salt, known)
             known.update(pairs)
             out.append((key[0], int(turn), replaced(text, pairs), len(known)))
@@ -52,11 +53,7 @@ def mask_stream(messages: DataFrame, session: str = "conv_id", turn: str = "turn
     A session's pairs are its state, and stay until it is flushed: replies to it can always be restored. With `idle_ms` a session without a
     message for so long is forgotten; write its pairs elsewhere before, if replies may still come.
     """
-    rows = messages.select(F.coalesce(F.col(session).cast("string"), F.lit("")).alias("session"), F.col(turn).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("whole"))
-    rows = rows.withColumn("is_service", is_service_query(F.col("whole")))
-    none = F.struct(F.col("whole").alias("text"), F.array().cast(PAIRS).alias("pairs"))
-    rows = rows.withColumn("f", F.when(F.col("is_service"), fuzz_addresses(F.col("whole"), F.col("session"))).otherwise(none))
-    rows = rows.select("session", "turn", "is_service", F.col("f.text").alias("text"), F.col("f.pairs").alias("fuzzed"))
+    rows = messages.select(F.coalesce(F.col(session).cast("string"), F.lit("")).alias("session"), F.col(turn).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("text"))
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return rows.groupBy("session").applyInPandasWithState(_masker(config, idle_ms), OUT, "pairs string", "append", timeout)
 

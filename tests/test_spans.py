@@ -6,12 +6,14 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.config import EngineConfig
 from cloakframe.functions import spanlist, surrogates
 from cloakframe.functions.checksums import is_aba, is_luhn
 from cloakframe.functions.patterns import PATTERNS, Text
 from cloakframe.functions.spanlist import Claimed, Entity
+from cloakframe.operators import recognizers, service
 from cloakframe.operators.cascade import Cascade
 from cloakframe.operators.passes import is_proper, names_behind_addresses, structural_orgs, without_parts_of_names, without_topics
 from cloakframe.operators.recognizers import Gazetteer, guard, routed, trace
@@ -176,3 +178,35 @@ def test_spans_of_another_engine():
     e = lambda a, b, s: Entity("?", a, b, "T", s, "other")
     got = baseline_of([e(-3, 3, 0.554), e(2, 6, 0.9), e(7, 99, 0.2), e(6, 7, 1.0)], "abcdef gh")
     assert [(x.text, x.start, x.end, x.score) for x in got] == [("cdef", 2, 6, 0.9), ("gh", 7, 9, 0.2)]
+
+
+def test_gates_change_no_answer():
+    rng = random.Random(4)
+    words = "any best find restaurant coffee near close to in by the what is open how do I get from directions weather place HIV clinic std shop market check if parking gas station ATM any where things activities".split()
+    whole, sensitive = re.compile(service.SERVICE_REGEX), re.compile(service.SENSITIVE_REGEX)
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))
+        assert service.asks_for_service(text) == (bool(whole.search(text)) and not sensitive.search(text))
+    gated = Gazetteer()
+    cues = recognizers._CUES
+    starts = ["My name is", "I am", "I'm", "(for", "work at", "employed by", "live in", "from", "and", "Regards,", "a-in", "hello", "name:", "x/near", "visiting", "the"]
+    for _ in range(3000):
+        text = f"Xx {rng.choice(starts)}{rng.choice([' ', '  ', chr(10)])}{rng.choice(['Zorblax', 'Quindle Varn', 'IBM', 'Q Z'])} z"
+        want = [x for x in gated.find(text)]
+        recognizers._CUES = Everything()
+        try:
+            assert gated.find(text) == want, text
+        finally:
+            recognizers._CUES = cues
+
+
+class Everything:
+    def __contains__(self, x):
+        return True
+
+
+def test_addresses_move_as_in_columns(spark):
+    texts = ["to 1126 E Apache Blvd, Tempe, AZ and 1 Oak St", "9" * 40 + " Elm Rd", "0" * 31 + " Elm Road, x", "12 Long Acre Road. 3 High Street,Leeds", "nothing"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [{p.original: p.surrogate for p in r[0]} for r in df.select(service.address_pairs(F.col("t"), F.lit("s"))).collect()]
+    assert got == [service.moved_addresses(t, "s") for t in texts] and len(got[1]) == 1
