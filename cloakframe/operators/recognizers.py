@@ -42,14 +42,15 @@ _HEAD = r"[A-ZÀ-ÖØ-Þ]"
 _CAPITALS = re.compile(rf"\b{_HEAD}[\w'’&-]*(?:(?: {{1,2}}|(?<=\b[A-Z])\. |(?<=\b(?:Dr|Mr|Ms|St))\. |(?<=\b(?:Mrs|Rev))\. |(?<=\bProf)\. )(?:of (?:the )?)?{_HEAD}[\w'’&-]*)*")
 _PART = re.compile(r"[\w'’&-]+")
 _TITLE = frozenset("Capt Dr Lord Mr Mrs Ms Prof Professor Rev Sgt Sir".split())
-_PERSON_BEFORE = re.compile(r"(?:\bname(?: is|:|['’]s)|\bnamed|\bcalled|\bi am|\bi['’]m|\bthis is|\bcontact|\bcall|\bdear|\bregards,|\bsincerely,|\bpatient|\bclient|\bcolleague|\bboss|\bmanager|\bfriend|\bbrother|\bsister|\bwife|\bhusband|\bson|\bdaughter|\bmother|\bfather|\bdoctor|\bfor|\bby|\bto|\bwith|\band)\s*\Z", re.I)
+_PERSON_BEFORE = re.compile(r"(?:\bname(?: is|:|['’]s| -|)|\bnamed|\bcalled|\bi am|\bi['’]m|\bthis is|\bcontact|\bcall|\bdear|\bregards,|\bsincerely,|\bpatient|\bclient|\bcustomer|\bemployee|\bapplicant|\bcandidate|\bpartner|\btenant|\bmember|\battendee|\breferral:?|\bcolleague|\bboss|\bmanager|\bfriend|\bbrother|\bsister|\bwife|\bhusband|\bson|\bdaughter|\bmother|\bfather|\bdoctor|\bfor|\bby|\bto|\bwith|\band)\s*\Z", re.I)
 _ORG_BEFORE = re.compile(r"(?:\bwork(?:s|ed|ing)? (?:at|for)|\bjob at|\bemploye[ed]+ (?:at|by|of)|\bemployer(?: is|:)?|\boffer from|\baccount (?:at|with)|\bcustomer of|\bintern(?:ed|ing|ship)? at|\bcompany|\bengineer at|\bmanager at|\bposition at|\bjoin(?:ed|ing)?)\s*\Z", re.I)
+_STATE_AFTER = re.compile(r", [A-Z]{2}\b")
 _LEFT = re.compile(r".*[^\w'’:,]", re.S)
 _PLACE_BEFORE = re.compile(r"(?:\b(?:live|lives|lived|living|born|raised|based|located|reside|resides|residing|stay|staying|grew up) (?:in|at|near)|\bmov(?:e|ed|ing) to|\bfrom|\bflying to|\bflight to|\btravel(?:ing|led)? to|\btrip to|\bvisit(?:ing|ed)?|\bhometown(?: is|:)?|\bin|\bnear)\s*\Z", re.I)
 
 #: The last words of what the expressions above ask for: without one of them none can match.
 _CUES = frozenset(
-    "is name: name's name’s named called am i'm i’m contact call dear regards, sincerely, patient client colleague boss manager friend brother sister wife husband son daughter mother father doctor for by to with and "
+    "is - name name: name's name’s customer employee applicant candidate partner tenant member attendee referral referral: named called am i'm i’m contact call dear regards, sincerely, patient client colleague boss manager friend brother sister wife husband son daughter mother father doctor for by to with and "
     "at of employer employer: from company join joined in near visit visited visiting hometown hometown:".split()
 )
 
@@ -76,6 +77,9 @@ class Gazetteer:
                 own = text[a:b]
                 if own.endswith(("'s", "’s")):
                     b -= 2
+                if label == "PERSON" and j - i < 3 and _STATE_AFTER.match(text, b):
+                    # A city before the two letters of its state.
+                    label = "GPE"
                 out.append(Entity(text[a:b], a, b, label, LABEL_SCORES[label], "ner"))
         return out
 
@@ -91,6 +95,8 @@ class Gazetteer:
                 i = max(i, j)
                 continue
             found = self._whole(words, i, n) or self._by_context(words, i, n, text[max(0, parts[i][1] - 40) : parts[i][1]])
+            if not found and words[i] not in COMMON and _STATE_AFTER.match(text, parts[n - 1][2]):
+                found = "GPE", i, n
             if found:
                 yield found
                 i = found[2]
@@ -133,6 +139,8 @@ class Gazetteer:
         last = before.rstrip().rpartition(" ")[2].lower()
         if last not in _CUES and (last.isalpha() or _LEFT.sub("", last) not in _CUES):
             return None
+        if last == "-" and not before.rstrip(" -").lower().endswith("name"):
+            return None
         j = self._name_end(words, i, n)
         if _ORG_BEFORE.search(before):
             return "ORG", i, j
