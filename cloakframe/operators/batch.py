@@ -20,7 +20,7 @@ from cloakframe.operators.resolve import resolve
 from cloakframe.operators.rewrite import baseline_entities, mask, redacted
 from cloakframe.schema import BASELINE, TIMINGS
 
-FIELDS = tuple("question pattern_scan_pii entity_trace_pii context_guard_pii confirmed_pii pii_detail quasi_id_risks surrogate_map sanitized_input llm_response final_output recognized_not_replaced stage_timings_ms presidio_sanitized_input presidio_found_piis".split())
+FIELDS = tuple("question pattern_scan_pii entity_trace_pii context_guard_pii confirmed_pii pii_detail quasi_id_risks surrogate_map sanitized_input llm_response final_output recognized_not_replaced stage_timings_ms presidio_sanitized_input presidio_found_piis error".split())
 
 
 def echo(prompt: Column) -> Column:
@@ -72,18 +72,18 @@ def stage_times(df: DataFrame, text: str, config: EngineConfig, out: str = "stag
     return with_columns(df, {out: TIMINGS}, lambda batch: [pa.array([times(t) for t in batch.column(text).to_pylist()], kind)])
 
 
-def run_batch(questions: DataFrame, fields: tuple[str, ...] = FIELDS, responder: Callable[[Column], Column] = echo, baseline: Callable[[Column], Column] | None = None, config: EngineConfig = EngineConfig(), idx: str = "idx", text: str = "input", done: DataFrame | None = None) -> DataFrame:
+def run_batch(questions: DataFrame, fields: tuple[str, ...] = FIELDS, responder: Callable[[Column], Column] = echo, baseline: Callable[[Column], Column] | None = None, config: EngineConfig = EngineConfig(), idx: str = "idx", text: str = "input", done: DataFrame | None = None, **stages: object) -> DataFrame:
     """(idx, *fields) of each question; rows whose idx is in `done` are left out.
 
     Texts are read once. Detection runs on the text with fuzzed addresses, but surrogates are put into the question as it
     stands, as is usual for such runs. Each question is a session of its own. `baseline` gives another engine's entities of a
-    text (null: not available). Null questions are empty ones.
+    text (null: not available). Null questions are empty ones. A question on which a recogniser fails has the error, and no text to send.
     """
     unknown = set(fields) - set(FIELDS)
     if unknown:
         raise ValueError(f"unknown fields: {sorted(unknown)}")
     rows = questions if done is None else questions.join(done.select(idx), idx, "left_anti")
-    out = mask(rows.select(idx, F.coalesce(text, F.lit("")).alias("question")), idx, "question", config, skip_fuzzed=False)
+    out = mask(rows.select(idx, F.coalesce(text, F.lit("")).alias("question")), idx, "question", config, skip_fuzzed=False, errors="error", **stages)
     every = F.concat("confirmed", "skipped")
     of = lambda s: F.transform(F.filter(every, lambda e: e["source"] == s), lambda e: e["text"])
     reason = F.when(F.col("is_service"), "service_query_location_suppressed").otherwise("topical_geo_filtered")
@@ -98,7 +98,7 @@ def run_batch(questions: DataFrame, fields: tuple[str, ...] = FIELDS, responder:
     out = out.withColumns({
         "pattern_scan_pii": of("pattern"), "entity_trace_pii": of("ner"), "context_guard_pii": of("slm"), "confirmed_pii": F.transform(every, lambda e: e["text"]),
         "pii_detail": _last_wins(details), "quasi_id_risks": F.col("risks"), "surrogate_map": _last_wins(F.transform("pairs", lambda p: F.struct(p["original"].alias("key"), p["surrogate"].alias("value")))),
-        "sanitized_input": replace_pairs(F.col("question"), F.col("pairs")), "recognized_not_replaced": kept,
+        "sanitized_input": F.when(F.col("error").isNull(), replace_pairs(F.col("question"), F.col("pairs"))), "recognized_not_replaced": kept,
     })
     if "stage_timings_ms" in fields:
         out = stage_times(out, "question", config)

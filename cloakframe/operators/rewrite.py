@@ -11,7 +11,7 @@ from cloakframe.functions import spanlist
 from cloakframe.functions.batches import PAIR_TYPE, entity_array, list_array, map_rows, to_entities, with_columns
 from cloakframe.functions.spanlist import Claimed, Entity
 from cloakframe.functions.surrogates import REPEATABLE, draw, pairs_of
-from cloakframe.operators.cascade import Cascade
+from cloakframe.operators.cascade import Cascade, Found
 from cloakframe.operators.risk import risks
 from cloakframe.operators.service import asks_for_service, moved_addresses
 from cloakframe.schema import ENTITIES, PAIRS
@@ -27,23 +27,29 @@ def replaced(text: str, pairs: dict[str, str]) -> str:
     return text
 
 
-def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig = EngineConfig(), known: str | None = None, skip_fuzzed: bool = True, **stages: object) -> DataFrame:
+def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig = EngineConfig(), known: str | None = None, skip_fuzzed: bool = True, errors: str | None = None, **stages: object) -> DataFrame:
     """Adds is_service, fuzzed, confirmed, uncertain, skipped, risks, pairs and sanitized; one pass, no shuffle.
 
     Requests for a service keep their places, and their addresses move next door. Surrogates depend on the session and the original
     alone, so all rows of a session agree without meeting, unless two originals of different rows draw the same one: `surrogate_rows`
     settles those. `known` names an array column of pairs that are kept. Moved addresses are left alone with `skip_fuzzed`. Null texts stay null.
+    `errors` names a column for what a recogniser raised on a row, which then has no entities and no sanitized text; without it the task fails.
     """
     engine, salt = Cascade(config, **stages), config.salt
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        found, pairs, clean, services, moves = [], [], [], [], []
+        found, pairs, clean, services, moves, raised = [], [], [], [], [], []
         olds = batch.column(known).to_pylist() if known else [None] * batch.num_rows
         for own, name, old in zip(batch.column(text).to_pylist(), batch.column("__key").to_pylist(), olds):
             service, name = asks_for_service(own), name or ""
             moved = moved_addresses(own, name) if service else {}
             work = replaced(own or "", moved)
-            f = engine.find(work, moved.values() if skip_fuzzed else None, service)
+            try:
+                f, error = engine.find(work, moved.values() if skip_fuzzed else None, service), None
+            except Exception as e:
+                if not errors:
+                    raise
+                f, error = Found([], [], [], []), f"{type(e).__name__}: {e}"
             f = f._replace(confirmed=spanlist.best_by_text(f.confirmed))
             kept = {p["original"]: p["surrogate"] for p in old or ()}
             p = pairs_of([(e.type, e.text) for e in f.confirmed], name, salt, kept)
@@ -51,11 +57,12 @@ def mask(df: DataFrame, session: str, text: str = "text", config: EngineConfig =
             services.append(service)
             moves.append(list(moved.items()))
             pairs.append([x for x in p.items() if x[0] not in kept])
-            clean.append(None if own is None else replaced(work, p))
+            clean.append(None if own is None or error else replaced(work, p))
+            raised.append(error)
         types = pa.array([f.types for f in found], pa.list_(pa.string()))
-        return [*(entity_array([f[k] for f in found]) for k in range(3)), types, list_array(pairs, PAIR_TYPE), pa.array(clean, pa.string()), pa.array(services, pa.bool_()), list_array(moves, PAIR_TYPE)]
+        return [*(entity_array([f[k] for f in found]) for k in range(3)), types, list_array(pairs, PAIR_TYPE), pa.array(clean, pa.string()), pa.array(services, pa.bool_()), list_array(moves, PAIR_TYPE), *([pa.array(raised, pa.string())] if errors else [])]
 
-    new = {"confirmed": ENTITIES, "uncertain": ENTITIES, "skipped": ENTITIES, "__types": "array<string>", "pairs": PAIRS, "sanitized": "string", "is_service": "boolean", "fuzzed": PAIRS}
+    new = {"confirmed": ENTITIES, "uncertain": ENTITIES, "skipped": ENTITIES, "__types": "array<string>", "pairs": PAIRS, "sanitized": "string", "is_service": "boolean", "fuzzed": PAIRS} | ({errors: "string"} if errors else {})
     out = with_columns(df.withColumn("__key", F.col(session).cast("string")), new, run)
     return out.withColumn("risks", risks(F.col("__types"))).drop("__types", "__key")
 

@@ -125,6 +125,18 @@ def test_batch_fields_and_reasons(spark):
     assert scored[0].scores.f1 == 0.5 and scored[1].scores is None
 
 
+def test_rows_that_fail_have_their_error(spark):
+    class Fails:
+        def find(self, text):
+            if "boom" in text:
+                raise RuntimeError("no model")
+            return []
+
+    q = spark.createDataFrame([(0, "boom a@b.org"), (1, "a@b.org")], "idx long, input string")
+    got = {r.idx: r for r in batch.run_batch(q, recognizer=Fails()).drop("stage_timings_ms").collect()}
+    assert got[0].error == "RuntimeError: no model" and got[0].sanitized_input is None and got[0].surrogate_map == {} and got[1].error is None and got[1].final_output == "a@b.org"
+
+
 def test_a_broken_run_goes_on(spark, tmp_path):
     q = spark.createDataFrame([(i, f"mail u{i}@x.org") for i in range(60)], "idx long, input string")
     path = f"{tmp_path}/answers"
