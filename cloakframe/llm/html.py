@@ -245,8 +245,8 @@ class Field:
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+    """Logarithm of the sum of exponentials over the two labels on an axis."""
+    return np.logaddexp(np.take(x, 0, axis), np.take(x, 1, axis))
 
 
 def train(pages: list[list[list[int]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.1, l2: float = 1e-3) -> Field:
@@ -255,21 +255,21 @@ def train(pages: list[list[list[int]]], labels: list[list[int]], rounds: int = 1
     lengths = np.array([len(p) for p in pages])
     n, most = len(pages), int(lengths.max())
     y = np.zeros((n, most), int)
-    x = np.zeros((n, most, len(FEATURES)), np.float32)
-    for i, (p, own) in enumerate(zip(pages, labels)):
-        y[i, : len(p)] = own
-        for t, f in enumerate(p):
-            x[i, t, f] = 1
+    for i, own in enumerate(labels):
+        y[i, : len(own)] = own
     on = np.arange(most) < lengths[:, None]
     truth = np.eye(2)[y] * on[..., None]
     pair_truth = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
-    flat = x[on]
+    # The features of all blocks, one block after the other.
+    counts = np.array([len(f) for p in pages for f in p])
+    flat, starts = np.concatenate([np.array(f) for p in pages for f in p]), np.cumsum(counts) - counts
+    gathered = lambda d: np.stack([np.bincount(flat, np.repeat(d[:, k], counts), len(FEATURES)) for k in (0, 1)], axis=1)
     theta = [np.zeros((len(FEATURES), 2)), np.zeros((2, 2)), np.zeros((2, 2))]
     m, v = [np.zeros_like(q) for q in theta], [np.zeros_like(q) for q in theta]
     for step in range(1, rounds + 1):
         w, moves, ends = theta
         s = np.zeros((n, most, 2))
-        s[on] = flat @ w
+        s[on] = np.add.reduceat(w[flat], starts, axis=0)
         a, b = np.zeros_like(s), np.zeros_like(s)
         a[:, 0] = s[:, 0] + ends[0]
         for t in range(1, most):
@@ -284,7 +284,7 @@ def train(pages: list[list[list[int]]], labels: list[list[int]], rounds: int = 1
             e = np.exp(a[:, t - 1][:, :, None] + moves + (s[:, t] + b[:, t])[:, None, :] - z[:, None, None])
             pair += e[on[:, t]].sum(0)
         last = np.arange(n), lengths - 1
-        grads = [flat.T @ (truth - unary)[on], pair_truth - pair, np.stack([(truth - unary)[:, 0].sum(0), (truth[last] - unary[last]).sum(0)])]
+        grads = [gathered((truth - unary)[on]), pair_truth - pair, np.stack([(truth - unary)[:, 0].sum(0), (truth[last] - unary[last]).sum(0)])]
         for q, g, mm, vv in zip(theta, grads, m, v):
             g = g / n - l2 * q
             mm += 0.1 * (g - mm)
