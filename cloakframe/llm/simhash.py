@@ -7,8 +7,10 @@ t_i with sum(t_i + 1) = radius + 1: two hashes within the radius then differ in
 some partition. Widths and thresholds come from a dynamic programme over estimated candidate
 counts, so a larger corpus gets wider partitions. Each hash is a probe for all the values within
 ceil(t_i / 2) flips of its own in partition i, so hashes within t_i meet at a value; those that meet
-are verified by their whole hashes. The search is exact for the hashes. Pairs that it finds are compared
-by their words, and a document goes only if it matches one that stays.
+are verified by their whole hashes. The search is exact for the hashes. Documents go in the order of their
+ids: those that no earlier one meets stay, and only pairs of theirs are compared by their words, round by round; a
+document goes if it matches one that stays. Where many hashes meet at a value, only those that no earlier one is near to there
+give their pairs, so a group of near copies gives as many pairs as it has members; what that leaves undecided is searched again.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import buffers, checkpoint, fresh, keep_rows, map_batches, splitmix, table, words
+from cloakframe.llm.common import buffers, checkpoint, fresh, keep_rows, map_batches, shuffle_partitions, small, splitmix, table, words
 
 RADIUS = 10
 #: Least Jaccard index of the words of two texts that match.
@@ -32,35 +34,49 @@ ATOM = 8
 #: Relative costs, as measured, of one probe row (explode, shuffle, sort) and of one candidate (an XOR
 #: and a bit count in numpy).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.003
-#: Groups of at most so many rows are compared by shifts of the whole column, larger ones by matrices
+#: Groups of at most so many rows are compared by shifts of the whole column and give all their pairs, larger ones by matrices
 #: of at most MATRIX cells.
 SMALL_GROUP, MATRIX = 32, 1 << 21
 
 
-def hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of each text, and whether it has one (a text without any byte has none).
+def distinct_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (44 bits) of each text's distinct words in ascending order, one text after the other, and where each text's begin.
 
-    Each distinct word weighs 1. A text with bytes but without words counts as one word.
+    A text with bytes but without words counts as one word; a null or empty one has none.
     """
     data, offsets = buffers(col)
     n = len(offsets) - 1
     h, first = words(col)
-    out = np.zeros(n, np.uint64)
-    has = np.diff(offsets) > 0
     row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(first))
+    bare = np.flatnonzero((np.diff(offsets) > 0) & (np.diff(first) == 0)).astype(np.uint64)
+    if len(bare):
+        whole = splitmix(np.array([hash_bytes(data[offsets[i] : offsets[i + 1]]) for i in bare], np.uint64))
+        row, h = np.concatenate([row, bare]), np.concatenate([h, whole])
     key = np.sort((row << np.uint64(44)) | (h >> np.uint64(20)))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     at = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(44))
-    bits = np.unpackbits(splitmix((key & np.uint64((1 << 44) - 1)) + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1)
+    return key & np.uint64((1 << 44) - 1), at
+
+
+def hashes(col: pa.Array, sets: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each text, and whether it has one (a text without any byte has none). Each distinct word weighs 1."""
+    key, at = sets or distinct_words(col)
+    out = np.zeros(len(at) - 1, np.uint64)
+    bits = np.unpackbits(splitmix(key + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for i in range(n):
+    for i in range(len(out)):
         a, b = at[i], at[i + 1]
         if a < b:
             out[i] = weights[2 * np.add.reduce(bits[a:b], axis=0, dtype=np.int32) > b - a].sum(dtype=np.uint64)
-        elif has[i]:
-            out[i] = splitmix(np.array([hash_bytes(data[offsets[i] : offsets[i + 1]])], np.uint64))[0]
-    return out, has
+    return out, np.diff(at) > 0
+
+
+def bags(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash of each text's set of words."""
+    key, at = sets
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(key + np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    return total[at[1:]] - total[at[:-1]]
 
 
 def hash_bytes(data: np.ndarray) -> int:
@@ -71,14 +87,18 @@ def hash_bytes(data: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig) of each row with a doc_id and a text of at least one byte."""
+    """(doc_id, sig, bag) of each row with a doc_id and a text of at least one byte; `bag` is a hash of the set of words.
+
+    A text without words has its bytes as its one word. Texts of the same words have the same `sig` and `bag`.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sig, has = hashes(batch.column("text"))
-        out = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sig.view(np.int64))], ["doc_id", "sig"])
+        sets = distinct_words(batch.column("text"))
+        sig, has = hashes(batch.column("text"), sets)
+        out = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sig.view(np.int64)), pa.array(bags(sets).view(np.int64))], ["doc_id", "sig", "bag"])
         return out.filter(pa.array(has))
 
-    return map_batches(docs.filter("doc_id is not null and text is not null"), ["doc_id", "text"], run, "doc_id long, sig long", "text")
+    return map_batches(docs.filter("doc_id is not null and text is not null"), ["doc_id", "text"], run, "doc_id long, sig long, bag long", "text")
 
 
 # --- the plan: bit order, partitions, thresholds -------------------------------------------------
@@ -199,68 +219,62 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def meet(key: np.ndarray, sig: np.ndarray, inner: np.ndarray, radius: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs u < v of hashes within `radius` that share a key; `key` is sorted.
+def meet(key: np.ndarray, sig: np.ndarray, ids: np.ndarray, inner: np.ndarray, radius: int, star: bool) -> list[np.ndarray]:
+    """Pairs of rows within `radius` that share a key, as (a_id, a_sig, b_id, b_sig), the earlier one (by id, then hash) first; `key` is sorted.
 
-    A pair counts if one of its rows is `inner`. With `forest`, a large group gives edges that connect
-    the same hashes as its pairs do, but no more than it has rows.
+    A pair counts if one of its rows is `inner`. With `star`, only some rows of a large group give their pairs: those that are near
+    to no earlier one that does. Each other row that is near to such a row gives a pair with itself, as a mark that pairs of it may be missing.
     """
-    us, vs = [], []
+    left, right = [], []
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
-    small = np.repeat(sizes <= SMALL_GROUP, sizes)
-    k, s, e = key[small], sig[small], inner[small]
+    small_rows = np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes))
+    k, s, e = key[small_rows], sig[small_rows], inner[small_rows]
     for d in range(1, SMALL_GROUP):
         same = np.flatnonzero(k[d:] == k[:-d]) if d < len(k) else ()
         if not len(same):
             break
-        a, b = s[same], s[same + d]
-        near = (np.bitwise_count(a ^ b) <= radius) & (e[same] | e[same + d])
-        us.append(a[near])
-        vs.append(b[near])
+        near = same[(np.bitwise_count(s[same] ^ s[same + d]) <= radius) & (e[same] | e[same + d])]
+        left.append(small_rows[near])
+        right.append(small_rows[near + d])
     for start, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-        s, e = sig[start : start + size], inner[start : start + size]
-        label, step = np.arange(size), max(1, MATRIX // size)
+        order = start + np.lexsort((sig[start : start + size], ids[start : start + size]))
+        s, e = sig[order], inner[order]
+        covered, step = np.zeros(size, bool), max(1, MATRIX // size)
         for i in range(0, size, step):
-            near = (np.bitwise_count(s[i : i + step, None] ^ s[None, i:]) <= radius) & (e[i : i + step, None] | e[None, i:])
-            r, c = np.nonzero(near)
-            r, c = r + i, c + i
-            own = r < c
-            r, c = r[own], c[own]
-            if forest and len(r) > size:
-                r, c = _connect(label, r, c)
-            us.append(s[r])
-            vs.append(s[c])
-    u, v = np.concatenate(us or [sig[:0]]).view(np.int64), np.concatenate(vs or [sig[:0]]).view(np.int64)
-    return np.minimum(u, v), np.maximum(u, v)
-
-
-def _connect(label: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the edges r-c join beyond `label`, which is brought up to date."""
-    before = label.copy()
-    while True:
-        low = np.minimum(label[r], label[c])
-        old = label.copy()
-        np.minimum.at(label, label[r], low)
-        np.minimum.at(label, label[c], low)
-        while True:
-            jump = label[label]
-            if np.array_equal(jump, label):
-                break
-            label[:] = jump
-        if np.array_equal(old, label):
-            break
-    moved = np.unique(before[label != before])
-    return label[moved], moved
-
-
-def near_pairs(sigs: DataFrame, radius: int = RADIUS, forest: bool = False) -> DataFrame:
-    """(u, v), u < v: pairs of distinct hashes within the radius.
-
-    `sigs` has distinct values in `psig` and came from `planned`. All pairs, each once; with `forest`,
-    enough of them to connect the same hashes, perhaps repeated.
+            rows = i + np.flatnonzero(~covered[i : i + step])
+            cols = np.concatenate([np.flatnonzero(covered[:i]), np.arange(i, size)])
+            near = (np.bitwise_count(s[rows, None] ^ s[None, cols]) <= radius) & (e[rows, None] | e[None, cols])
+            near &= rows[:, None] != cols[None, :]
+            if not star:
+                r, c = np.nonzero(near)
+                later = cols[c] > rows[r]
+                left.append(order[rows[r[later]]])
+                right.append(order[cols[c[later]]])
+                continue
+            for r in np.flatnonzero(near.any(1)):
+                if not covered[rows[r]]:
+                    hit = cols[near[r]]
+                    left.append(np.full(len(hit), order[rows[r]]))
+                    right.append(order[hit])
+                    covered[hit[hit > rows[r]]] = True
+        left.append(order[covered])
+        right.append(order[covered])
+    i, j = np.concatenate(left or [starts[:0]]), np.concatenate(right or [starts[:0]])
+    swap = (ids[i] > ids[j]) | (ids[i] == ids[j]) & (sig[i] > sig[j])
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return [ids[i], sig[i].view(np.int64), ids[j], sig[j].view(np.int64)]
+
+
+EDGE = ["a_id", "a_sig", "b_id", "b_sig"]
+
+
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, star: bool = False) -> DataFrame:
+    """(a_id, a_sig, b_id, b_sig): pairs of `nodes` (id, psig; distinct) within the radius, the earlier one first.
+
+    All pairs, each once; with `star` see `meet`. The hashes came from `planned`.
     """
-    parts = allot(atom_distances(sigs), sigs.count(), radius)
+    parts = allot(atom_distances(nodes), nodes.count(), radius)
 
     def keyed(p: int, own):
         return lambda m: own.bitwiseXOR(m).bitwiseOR(F.lit(p << 56))
@@ -274,99 +288,116 @@ def near_pairs(sigs: DataFrame, radius: int = RADIUS, forest: bool = False) -> D
         within = len(flips(width, t // 2))
         per_part.append(F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), keyed(p, own)))
         inner += [i < within for i in range(len(masks))]
-    rows = sigs.select("psig", F.posexplode(F.concat(*per_part)).alias("pos", "key"))
-    keys = rows.select("key", "psig", "pos").repartition("key").sortWithinPartitions("key")
+    spread_out = nodes.select("id", "psig").repartition(shuffle_partitions(nodes.sparkSession))
+    rows = spread_out.select("id", "psig", F.posexplode(F.concat(*per_part)).alias("pos", "key"))
+    keys = rows.select("key", "psig", "pos", "id").repartition("key").sortWithinPartitions("key")
     flag = np.array(inner)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def settle(whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-            k, s, e = (np.concatenate(x) for x in zip(*whole))
-            u, v = meet(k, s, e, radius, forest)
-            for i in range(0, len(u), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 18)]), pa.array(v[i : i + (1 << 18)])], ["u", "v"])
+        def settle(whole: list[tuple[np.ndarray, ...]]):
+            k, s, e, ids = (np.concatenate(x) for x in zip(*whole))
+            found = meet(k, s, ids, e, radius, star)
+            for i in range(0, len(found[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in found], EDGE)
 
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False)
             s = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             e = flag[batch.column(2).to_numpy(zero_copy_only=False)]
+            ids = batch.column(3).to_numpy(zero_copy_only=False)
             cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
             # The last key may go on in the next batch.
             if len(k) and (cut or held and held[-1][0][-1] != k[0]):
-                yield from settle([*held, (k[:cut], s[:cut], e[:cut])])
+                yield from settle([*held, (k[:cut], s[:cut], e[:cut], ids[:cut])])
                 held = []
             if len(k):
-                held.append((k[cut:], s[cut:], e[cut:]))
+                held.append((k[cut:], s[cut:], e[cut:], ids[cut:]))
         if held:
             yield from settle(held)
 
-    found = keys.mapInArrow(run, "u long, v long")
-    return found if forest else found.distinct()
+    return keys.mapInArrow(run, ", ".join(f"{c} long" for c in EDGE)).distinct()
 
 
 def planned(sigs: DataFrame) -> DataFrame:
-    """(doc_id, psig): the hashes with correlated bits side by side."""
+    """`sigs` with `psig` for `sig`: the hash with correlated bits side by side."""
     order = bit_order(bit_moments(sigs))
+    rest = [c for c in sigs.columns if c != "sig"]
 
     def run(batches):
         for batch in batches:
-            psig = permute(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), order)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(psig.view(np.int64))], ["doc_id", "psig"])
+            psig = permute(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), order)
+            yield pa.RecordBatch.from_arrays([pa.array(psig.view(np.int64)), *batch.columns[1:]], ["psig", *rest])
 
-    return sigs.select("doc_id", "sig").mapInArrow(run, "doc_id long, psig long")
+    return sigs.select("sig", *rest).mapInArrow(run, ", ".join(["psig long", *(f"{c} {dict(sigs.dtypes)[c]}" for c in rest)]))
 
 
 def word_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, bag, words): hashes of each text's distinct words in ascending order, and one of the set.
-
-    A text without words has its bytes as its one word.
-    """
+    """(doc_id, bag, words): the distinct words of each text; see `signatures`."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = buffers(batch.column("text"))
-        h, first = words(batch.column("text"))
-        sets = [np.unique(h[first[i] : first[i + 1]]) if first[i] < first[i + 1] else np.array([hash_bytes(data[offsets[i] : offsets[i + 1]])], np.uint64) for i in range(batch.num_rows)]
-        bag = np.array([splitmix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
-        ends = np.cumsum([0, *map(len, sets)])
-        flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-        out = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(bag.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "bag", "words"])
-        return out.filter(pa.array(np.diff(offsets) > 0))
+        key, at = sets = distinct_words(batch.column("text"))
+        own = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(bags(sets).view(np.int64)), own], ["doc_id", "bag", "words"])
 
-    return map_batches(docs.filter("doc_id is not null and text is not null"), ["doc_id", "text"], run, "doc_id long, bag long, words array<long>", "text")
+    return map_batches(docs.filter("doc_id is not null and text != ''"), ["doc_id", "text"], run, "doc_id long, bag long, words array<long>", "text")
 
 
 def alike(pairs: DataFrame) -> DataFrame:
-    """The rows (a, b) of `pairs` whose sets a_words and b_words have a Jaccard index of SHARE or more."""
+    """The rows of `pairs` (a, b, a_words, b_words) whose sets have a Jaccard index of SHARE or more, without the sets."""
+    kept = [c for c in pairs.columns if c not in ("a_words", "b_words")]
 
     def run(batches):
         for batch in batches:
             near = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column("a_words"), batch.column("b_words")):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= SHARE * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(kept).filter(pa.array(near, pa.bool_()))
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in kept))
+
+
+def _on(df: DataFrame, side: str, others: DataFrame, how: str) -> DataFrame:
+    """`df` joined with nodes (id, sig) on one side of its edges."""
+    named = others.select(F.col("id").alias("__id"), F.col("sig").alias("__sig"), *[c for c in others.columns if c not in ("id", "sig")])
+    return df.join(named, (F.col(f"{side}_id") == F.col("__id")) & (F.col(f"{side}_sig") == F.col("__sig")), how).drop("__id", "__sig")
+
 
-    return pairs.select("a", "b", "a_words", "b_words").mapInArrow(run, "a struct<id:long,bag:long>, b struct<id:long,bag:long>")
+def _side(edges: DataFrame, side: str) -> DataFrame:
+    return edges.select(F.col(f"{side}_id").alias("id"), F.col(f"{side}_sig").alias("sig"))
 
 
-def leaders(edges: DataFrame) -> DataFrame:
-    """(b, a): nodes that go, each with the least of its neighbours that stay.
+def leaders(edges: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, sig, kept) of the nodes that go, each with the least id of the nodes that stay and match it; and (id, sig) of the nodes that
+    can't be told yet.
 
-    Nodes are taken in ascending order and stay unless a neighbour before them does. In each round, nodes
-    without an open neighbour before them stay, and their neighbours go.
+    `edges` are those of `near_pairs`, `sets` (id, sig, words) has the words of all their nodes. In each round, nodes without an open
+    edge to them, and without a mark, stay; their edges are compared by words, the nodes that match go, and the edges of both are settled. Edges between
+    nodes that go are never compared. What is left in the end hangs on nodes with marks.
     """
-    out, left = None, checkpoint(edges)
-    while not left.isEmpty():
-        later = left.select(F.col("b").alias("n")).distinct()
-        stay = left.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti")
-        gone = left.join(stay, left.a == stay.n, "left_semi").groupBy("b").agg(F.min("a").alias("a"))
-        gone = checkpoint(gone)
+    same = (F.col("a_id") == F.col("b_id")) & (F.col("a_sig") == F.col("b_sig"))
+    marked, left, out = checkpoint(_side(edges.filter(same), "a")), checkpoint(edges.filter(~same)), None
+    while True:
+        blocked = _side(left, "b").unionByName(marked).distinct()
+        tried = checkpoint(_on(left, "a", blocked, "left_anti"))
+        if tried.isEmpty():
+            break
+        paired = tried
+        for side in ("a", "b"):
+            # The sets of this round's nodes alone are shuffled.
+            wanted = small(_side(tried, side).distinct())
+            paired = _on(paired, side, sets.join(wanted, ["id", "sig"], "left_semi").withColumnRenamed("words", f"{side}_words"), "inner")
+        gone = checkpoint(alike(paired).groupBy(F.col("b_id").alias("id"), F.col("b_sig").alias("sig")).agg(F.min("a_id").alias("kept")))
         out = gone if out is None else out.unionByName(gone)
-        done = gone.select(F.col("b").alias("n")).unionByName(stay).distinct()
-        left = checkpoint(left.join(done, left.a == done.n, "left_anti").join(done, F.col("b") == done.n, "left_anti"))
-    return edges.select("b", "a").limit(0) if out is None else out
+        left = left.join(tried, EDGE, "left_anti")
+        done = gone.select("id", "sig")
+        left = checkpoint(_on(_on(left, "a", done, "left_anti"), "b", done, "left_anti"))
+        marked = checkpoint(marked.join(done, ["id", "sig"], "left_anti"))
+    undecided = _side(left, "a").unionByName(_side(left, "b")).unionByName(marked).distinct()
+    return (_side(edges, "a").limit(0).withColumn("kept", F.lit(0).cast("long")) if out is None else out), undecided
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -375,42 +406,51 @@ def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Two texts match if their hashes are within `radius` and the Jaccard index of their words is SHARE or
     more. In the order of doc_id, a document stays unless it matches one that stays. Rows with
     a null doc_id or a null or empty text take no part. Repeated rows of one doc_id count once. Texts
-    without words are compared by their bytes. Columns besides doc_id and text are not read. An empty
-    table gives an empty result.
+    without words are compared by their bytes. Whole texts count, however long. Columns besides doc_id and text are not
+    read. An empty table gives an empty result.
     """
-    sigs = checkpoint(signatures(docs))
-    per_doc = checkpoint(planned(sigs))
-    sets = word_sets(docs)
-    # Texts of the same words are one node, named by its least doc_id.
-    bags = checkpoint(sets.select("doc_id", "bag").distinct())
-    first = bags.groupBy("bag").agg(F.min("doc_id").alias("id"))
-    nodes = checkpoint(first.join(per_doc.distinct(), first.id == per_doc.doc_id).select("psig", F.struct("id", "bag").alias("node")))
-    pairs = near_pairs(nodes.select("psig").distinct(), radius)
-    ends = nodes.select(F.col("psig").alias("u"), F.col("node").alias("x"))
-    others = nodes.select(F.col("psig").alias("v"), F.col("node").alias("y"))
-    apart = pairs.join(ends, "u").join(others, "v").select("x", "y")
-    same = ends.join(others, (F.col("u") == F.col("v")) & (F.col("x") < F.col("y"))).select("x", "y")
-    met = checkpoint(apart.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
-    asked = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node.id").alias("doc_id"), F.col("node.bag").alias("bag"))
-    asked = checkpoint(sets.join(asked, ["doc_id", "bag"]).dropDuplicates(["doc_id", "bag"]).select("node", "words"))
-    held = met.join(asked.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a").join(asked.select(F.col("node").alias("b"), F.col("words").alias("b_words")), "b")
-    gone = leaders(alike(held)).select(F.col("b.bag").alias("bag"), F.col("a.id").alias("kept"))
-    owner = bags.join(first, "bag").join(gone, "bag", "left").select("doc_id", F.coalesce("kept", "id").alias("duplicate_of"))
-    return owner.filter(F.col("doc_id") != F.col("duplicate_of")).distinct()
+    rows = checkpoint(planned(checkpoint(signatures(docs))))
+    # Texts of the same words are one node, named by its least doc_id and its hash.
+    nodes = checkpoint(rows.groupBy("bag").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("psig").alias("sig")))
+    open_, gone, sets = checkpoint(nodes.select("id", F.col("sig").alias("psig")).distinct()), None, None
+    while True:
+        edges = checkpoint(near_pairs(open_, radius, star=True))
+        if edges.isEmpty():
+            break
+        if sets is None:
+            # Words are made for the nodes that met others alone; what a later round meets met in the first.
+            asked = checkpoint(_side(edges, "a").unionByName(_side(edges, "b")).distinct().join(nodes.groupBy("id", "sig").agg(F.min("bag").alias("bag")), ["id", "sig"]))
+            own = docs.join(small(asked.select(F.col("id").alias("__id")).distinct()), F.col("doc_id") == F.col("__id"), "left_semi")
+            made = word_sets(own.select("doc_id", "text")).withColumnRenamed("bag", "__bag")
+            sets = checkpoint(made.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("__bag") == F.col("bag"))).select("id", "sig", "words").dropDuplicates(["id", "sig"]))
+        more, undecided = leaders(edges, sets)
+        gone = more if gone is None else gone.unionByName(more)
+        open_ = checkpoint(undecided.withColumnRenamed("sig", "psig"))
+        if open_.isEmpty():
+            break
+    if gone is None:
+        kept = nodes.filter("last > id").select("bag", F.col("id").alias("duplicate_of"))
+    else:
+        kept = nodes.join(gone, ["id", "sig"], "left").filter("kept IS NOT NULL OR last > id").select("bag", F.coalesce("kept", "id").alias("duplicate_of"))
+    return rows.join(small(kept), "bag").filter(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of").distinct()
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` that stay: one document of each group, and one row of each repeated doc_id.
 
-    Rows that take no part in the search (null doc_id, no text) stay as they are. All columns are kept.
+    Rows that take no part in the search (null doc_id, no text) stay as they are. All columns are kept, whatever
+    their names. Ties, long texts and empty tables are as in `duplicates`.
     """
-    kept = keep_rows(docs, duplicates(docs, radius))
+    kept = keep_rows(docs, duplicates(docs, radius).select("doc_id"))
     rep = fresh(docs, "__rep")
-    repeated = docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(rep))
+    repeated = small(docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(rep)))
+    if repeated.isEmpty():
+        return kept
     once = kept.join(repeated, F.col("doc_id") == F.col(rep), "left_anti")
     again = kept.join(repeated, F.col("doc_id") == F.col(rep), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`duplicates` over the whole table `documents`."""
     return duplicates(table(spark, sf_dir, "documents"))
