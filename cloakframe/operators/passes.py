@@ -44,7 +44,7 @@ def structural_orgs(text: str, existing: list[Entity]) -> list[Entity]:
 
 def names_behind_addresses(entities: list[Entity]) -> list[Entity]:
     """Pass B. An organisation that some email's user name starts with is a person."""
-    users = {e.text.split("@")[0].lower() for e in entities if e.type == "email" and "@" in e.text}
+    users = {name.lower() for kind, (name, at, _) in ((e.type, e.text.partition("@")) for e in entities) if at and kind == "email"}
     person = lambda e: e.type == "ORG" and len(e.text) >= 3 and any(u.startswith(e.text.lower()) for u in users)
     return [e._replace(type="PERSON", score=0.88) if users and person(e) else e for e in entities]
 
@@ -54,14 +54,17 @@ def without_parts_of_names(entities: list[Entity]) -> list[Entity]:
 
     Only names that share a word are compared, so many persons don't take quadratic time.
     """
-    persons = [e for e in entities if e.type == "PERSON"]
+    others: list[Entity] = []
+    persons: list[Entity] = []
+    for e in entities:
+        (persons if e.type == "PERSON" else others).append(e)
     words = {e.text: frozenset(e.text.split()) for e in persons}
     having: dict[str, set[str]] = {}
     for name, own in words.items():
         for w in own:
             having.setdefault(w, set()).add(name)
     gone = {name for name, own in words.items() if own and set.intersection(*[having[w] for w in own]) - {name}}
-    return [e for e in entities if e.type != "PERSON"] + [e for e in persons if e.text not in gone]
+    return others + [e for e in persons if e.text not in gone]
 
 
 def clause_list(text: str) -> list[str]:
