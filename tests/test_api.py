@@ -256,6 +256,8 @@ def test_numbers_of_chunks(spark):
     df = spark.createDataFrame([(5, "x" * 1000), (9000, "short"), (7, ""), (8, None), (9001, "y" * 513)], "doc_id long, text string")
     got = sorted((r.doc_id, r.chunk_index, r.chunk_id) for r in rag.numbered_chunks(df).collect())
     assert got == [(5, 0, "doc_0_0"), (5, 1, "doc_1_1"), (5, 2, "doc_2_2"), (7, 0, "doc_3_0"), (9000, 0, "doc_4_0"), (9001, 0, "doc_5_0"), (9001, 1, "doc_6_1")]
+    odd = df.filter("doc_id < 9000").unionByName(df.filter("doc_id = 9000").withColumn("doc_id", F.lit(None).cast("long")))
+    assert {(r.doc_id, r.chunk_id) for r in rag.numbered_chunks(odd).collect()} == {(None, "doc_0_0"), (5, "doc_1_0"), (5, "doc_2_1"), (5, "doc_3_2"), (7, "doc_4_0")}
 
 
 def test_state_versions(spark, tmp_path):
