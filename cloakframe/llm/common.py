@@ -6,7 +6,9 @@ or scanned with numpy instead of row by row.
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 #: Bytes of text that one numpy pass works on; bounds the worker's memory.
 CHUNK_BYTES = 1 << 20
 #: Identifiers that are sent to every task (about 16 bytes each); more of them are joined by a shuffle.
@@ -85,10 +89,18 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
                 out = fn(part)
                 if out.num_rows:
                     yield out
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine: workers live on, and an executor's bound counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """`name`, with as many underscores as no column of `docs` has."""
     taken = {c.lower() for c in docs.columns}

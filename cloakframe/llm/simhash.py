@@ -385,11 +385,11 @@ def leaders(edges: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         tried = checkpoint(_on(left, "a", blocked, "left_anti"))
         if tried.isEmpty():
             break
-        paired = tried
-        for side in ("a", "b"):
-            # The sets of this round's nodes alone are shuffled.
-            wanted = small(_side(tried, side).distinct())
-            paired = _on(paired, side, sets.join(wanted, ["id", "sig"], "left_semi").withColumnRenamed("words", f"{side}_words"), "inner")
+        # The sets of this round's nodes alone are moved: the edges go to their later nodes, and those with their sets to the earlier ones.
+        first = sets.join(small(_side(tried, "a").distinct()), ["id", "sig"], "left_semi")
+        later = small(tried)
+        held = sets.withColumnRenamed("words", "b_words").join(later, (F.col("id") == F.col("b_id")) & (F.col("sig") == F.col("b_sig"))).drop("id", "sig")
+        paired = _on(held, "a", first.withColumnRenamed("words", "a_words"), "inner")
         gone = checkpoint(alike(paired).groupBy(F.col("b_id").alias("id"), F.col("b_sig").alias("sig")).agg(F.min("a_id").alias("kept")))
         out = gone if out is None else out.unionByName(gone)
         left = left.join(tried, EDGE, "left_anti")
@@ -422,7 +422,10 @@ def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             asked = checkpoint(_side(edges, "a").unionByName(_side(edges, "b")).distinct().join(nodes.groupBy("id", "sig").agg(F.min("bag").alias("bag")), ["id", "sig"]))
             own = docs.join(small(asked.select(F.col("id").alias("__id")).distinct()), F.col("doc_id") == F.col("__id"), "left_semi")
             made = word_sets(own.select("doc_id", "text")).withColumnRenamed("bag", "__bag")
-            sets = checkpoint(made.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("__bag") == F.col("bag"))).select("id", "sig", "words").dropDuplicates(["id", "sig"]))
+            sets = checkpoint(made.join(small(asked), (F.col("doc_id") == F.col("id")) & (F.col("__bag") == F.col("bag"))).select("id", "sig", "words"))
+            if sets.count() > asked.count():
+                # Rows that repeat a doc_id.
+                sets = checkpoint(sets.dropDuplicates(["id", "sig"]))
         more, undecided = leaders(edges, sets)
         gone = more if gone is None else gone.unionByName(more)
         open_ = checkpoint(undecided.withColumnRenamed("sig", "psig"))
