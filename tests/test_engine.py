@@ -150,3 +150,11 @@ def test_queries_equal_their_sql(spark, name):
     digest = lambda df: sorted(hashlib.md5(repr([None if pd.isna(x) else round(x, 6) if isinstance(x, float) else x for x in row]).encode()).hexdigest() for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     assert digest(got) == digest(want)
+
+
+def test_sessions_sealed_in_several_rows_count_once(spark, monkeypatch):
+    monkeypatch.setattr(state, "PART", 2)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW customer AS SELECT * FROM read_parquet('/root/testdata/sf0.001/customer.parquet')")
+    got = catalogue.QUERIES["aes_roundtrip"](spark, "/root/testdata/sf0.001").select("session", "n", "n_wrong_secret").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLE_SQL["aes_roundtrip"]).fetchall())
