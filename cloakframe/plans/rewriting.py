@@ -17,7 +17,7 @@ from cloakframe.operators.resolve import failure_summary, resolve
 from cloakframe.operators.rewrite import ATTEMPTS, surrogate_rows
 from cloakframe.operators.service import address_pairs, is_service_query
 from cloakframe.plans.base import TEXTS, TEXTS_SQL, sql_text, table, texts
-from cloakframe.plans.detection import SPANS_SQL
+from cloakframe.plans.detection import SPANS_SQL, scanned
 from cloakframe.sources.io import reply_text
 from cloakframe.storage import checkpoint
 
@@ -30,11 +30,11 @@ FIXED = EngineConfig(salt="cloak")
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
-    return rewrite.with_pairs(scan.scan(texts(spark, d)), "doc_id", config=FIXED)
+    return rewrite.with_pairs(scanned(spark, d), "doc_id", config=FIXED)
 
 
 def surrogate_map(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate_rows(scan.explode_entities(scan.scan(texts(spark, d)), "doc_id"), "doc_id", FIXED)
+    return surrogate_rows(scan.explode_entities(scanned(spark, d), "doc_id"), "doc_id", FIXED)
 
 
 def masked_text(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def masked_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
-    return rewrite.redacted(scan.scan(texts(spark, d))).select("doc_id", "redacted")
+    return rewrite.redacted(scanned(spark, d)).select("doc_id", "redacted")
 
 
 def unmask_roundtrip(spark: SparkSession, d: str) -> DataFrame:

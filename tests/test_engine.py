@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.config import EngineConfig, expand_types
-from cloakframe.functions import crypto, stats
+from cloakframe.functions import crypto, patterns, spanlist, stats
 from cloakframe.operators import attack, evaluate, rag, resolve, risk, scan, service, state
 from cloakframe.operators.rewrite import surrogate_rows
 from cloakframe.plans import catalogue
@@ -158,3 +158,35 @@ def test_sessions_sealed_in_several_rows_count_once(spark, monkeypatch):
     con.execute("CREATE VIEW customer AS SELECT * FROM read_parquet('/root/testdata/sf0.001/customer.parquet')")
     got = catalogue.QUERIES["aes_roundtrip"](spark, "/root/testdata/sf0.001").select("session", "n", "n_wrong_secret").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLE_SQL["aes_roundtrip"]).fetchall())
+
+
+#: Words that end where a letter follows, if letters are those of ASCII alone.
+EDGES = [
+    "ring +1 (643) 555-2043 einlich st\u00f6d", "3280 zuch st\u00fcndlich", "\u00e912 Baker St", "\u066312 Baker St", "12\u00a0Baker St", "189 einst\u00e4", "5 Baker St, Ulm\u00fc", "\u00e9a@b.org a@b.org\u00e9", "9021\u0663 90210\u00e9 \u00e990210", "DL\u00e9 A1234567 \u00fcDL B7654321",
+    "\u00e9192.168.1.100\u00fc", "\u00e44532015112830366", "03/14/1990\u00e9 14 Mar\u00e9 1990", "sex: m\u00e9", "\u00e4she/her", "SW1A 1AA\u00e9", "\u00fc0x52908400098527886E0F7030069857D2E4169EE7", "\u0663021000021 123-45-6789\u00e9", "12 Ba\u017fe \u017ft", "gender:\u00a0male, \u017fex: f",
+    "plain 12 Baker St and a@b.org",
+]
+EDGE_QUERIES = [q for q in catalogue.ORACLE_SQL if q.startswith(("pattern_", "pii_"))] + ["entity_dedup_best", "redacted_text", "surrogate_map", "masked_text", "clean_docs_anti", "text_risks"]
+
+
+@pytest.fixture(scope="module")
+def edges(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("edges"))
+    pd.DataFrame({"doc_id": range(len(EDGES)), "text": EDGES, "lang": "de"}).to_parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", EDGE_QUERIES)
+def test_words_of_the_queries_end_where_those_of_the_sql_do(spark, edges, name):
+    folder, con = edges
+    got = catalogue.QUERIES[name](spark, folder)
+    want = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_words_of_the_engine_are_of_unicode():
+    assert [(e.type, e.text) for e in spanlist.scan(EDGES[0])] == [("phone_us", "+1 (643) 555-2043")]
+    assert [e.type for e in spanlist.scan(EDGES[0], patterns.ASCII_PATTERNS)] == ["address"]
