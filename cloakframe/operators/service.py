@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.functions.patterns import STREET_WORDS
+from cloakframe.functions.patterns import STREET_WORDS, ascii_words
 from cloakframe.functions.spans import let, replace_pairs
 from cloakframe.schema import PAIRS
 
@@ -69,12 +69,13 @@ def is_service_query(text: Column) -> Column:
     return ~whole.rlike(SENSITIVE_REGEX) & whole.rlike(SERVICE_REGEX)
 
 
-def address_pairs(text: Column, seed: Column) -> Column:
+def address_pairs(text: Column, seed: Column, ascii: bool = False) -> Column:
     """Addresses of a text, each with the one next door: the house number goes up or down by 1, not below 1.
 
-    The direction comes from a hash of seed and address, so the same address moves the same way.
+    The direction comes from a hash of seed and address, so the same address moves the same way. `ascii`: words end at letters that
+    aren't ASCII, as in SQL.
     """
-    g = lambda k: F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(k))
+    g = lambda k: F.regexp_extract_all(text, F.lit(_ADDRESS_ASCII if ascii else ADDRESS), F.lit(k))
 
     def pair(z: Column) -> Column:
         up = F.conv(F.substring(F.md5(F.concat(seed, F.lit("|"), z["whole"])), 1, 1), 16, 10).cast("int") % 2 * 2 - 1
@@ -91,6 +92,8 @@ def address_pairs(text: Column, seed: Column) -> Column:
 
 
 _ADDRESS = re.compile(ADDRESS)
+# Java folds the cases of ASCII alone without "u", SQL those of Unicode (long s, Kelvin sign).
+_ADDRESS_ASCII = ascii_words(ADDRESS.replace("(?i)", "(?iu)", 1))
 
 
 def moved_addresses(text: str, seed: str) -> dict[str, str]:

@@ -166,7 +166,7 @@ EDGES = [
     "\u00e9192.168.1.100\u00fc", "\u00e44532015112830366", "03/14/1990\u00e9 14 Mar\u00e9 1990", "sex: m\u00e9", "\u00e4she/her", "SW1A 1AA\u00e9", "\u00fc0x52908400098527886E0F7030069857D2E4169EE7", "\u0663021000021 123-45-6789\u00e9", "12 Ba\u017fe \u017ft", "gender:\u00a0male, \u017fex: f",
     "plain 12 Baker St and a@b.org",
 ]
-EDGE_QUERIES = [q for q in catalogue.ORACLE_SQL if q.startswith(("pattern_", "pii_"))] + ["entity_dedup_best", "redacted_text", "surrogate_map", "masked_text", "clean_docs_anti", "text_risks"]
+EDGE_QUERIES = [q for q in catalogue.ORACLE_SQL if q.startswith(("pattern_", "pii_"))] + ["entity_dedup_best", "redacted_text", "service_fuzz", "surrogate_map", "masked_text", "clean_docs_anti", "text_risks"]
 
 
 @pytest.fixture(scope="module")
