@@ -206,3 +206,9 @@ def test_few_chunks_go_to_the_tasks_instead_of_many_queries(spark, monkeypatch):
     assert rag.top_k_of_few(asked, vectors, 3, "q", "chunk_id").orderBy("q", "rank").collect() == want and len(want) == 3 * 53
     named = {f"c{i}": t for i, t in enumerate(texts)}
     assert near == {q: [named[r.chunk_id] for r in want if r.q == q] for q in {r.q for r in want}}
+
+
+def test_requests_are_looked_for_among_texts_with_an_address(spark):
+    plan = catalogue.QUERIES["engine_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    near = next(x for x in plan.splitlines() if "abortion" in x)
+    assert near.index("regexp_extract_all") < near.index("abortion")
