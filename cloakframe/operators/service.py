@@ -48,8 +48,10 @@ ADDRESS = rf"(?i)\b(\d+)\s+([a-z0-9 ]+?(?:{_STREET}|pkwy)\.?)(?:\s*,\s*([a-z][a-
 
 
 #: Each expression with the plain words of which a match holds one; none where an expression has other than plain words there.
-_GATED = [(re.compile(f"(?i){x}"), [g for g in (m.split("|") for m in re.findall(r"\(\?:([^()]*)\)", x)) if all(re.fullmatch("[a-z ]+", w) for w in g)]) for x in SERVICE]
+_GATED = [(re.compile(f"(?i){x}"), re.compile(x), [g for g in (m.split("|") for m in re.findall(r"\(\?:([^()]*)\)", x)) if all(re.fullmatch("[a-z ]+", w) for w in g)]) for x in SERVICE]
 _SENSITIVE = re.compile(SENSITIVE_REGEX)
+#: Letters that an expression takes for others in either case, and `lower` doesn't.
+_FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
 
 
 def asks_for_service(text: str | None) -> bool:
@@ -57,8 +59,10 @@ def asks_for_service(text: str | None) -> bool:
     if not text:
         return False
     low = text.lower()
-    for regex, groups in _GATED:
-        if all(any(w in low for w in g) for g in groups) and regex.search(text):
+    odd = not text.isascii() and _FOLDED.search(text)
+    for regex, lower, groups in _GATED:
+        # Without regard to case the start of a match can't be looked for quickly.
+        if all(any(w in low for w in g) for g in groups) and (regex.search(text) if odd else lower.search(low)):
             return not _SENSITIVE.search(text)
     return False
 

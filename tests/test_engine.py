@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.config import EngineConfig, expand_types
 from cloakframe.functions import crypto, patterns, spanlist, stats
-from cloakframe.operators import attack, evaluate, rag, resolve, risk, scan, service, state
+from cloakframe.operators import attack, evaluate, rag, recognizers, resolve, risk, scan, service, state
 from cloakframe.operators.rewrite import surrogate_rows
 from cloakframe.plans import catalogue
 
@@ -212,3 +213,24 @@ def test_requests_are_looked_for_among_texts_with_an_address(spark):
     plan = catalogue.QUERIES["engine_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     near = next(x for x in plan.splitlines() if "abortion" in x)
     assert near.index("regexp_extract_all") < near.index("abortion")
+
+
+def test_words_that_start_a_sentence_cost_little(monkeypatch):
+    called, named = [], recognizers.Gazetteer._named
+    monkeypatch.setattr(recognizers.Gazetteer, "_named", lambda self, parts, text: called.append(parts) or named(self, parts, text))
+    text = "Lorem ipsum. Dolor sit.\nAmet, Elitr by Sanct. Ann left. Mr Bo Lund. Tempora, AZ. In Zork. Paris's end. \u00dcber all. A Will"
+    got = [(e.type, e.text) for e in recognizers.Gazetteer().find(text)]
+    assert len(called) == 8 and got == [("PERSON", "Ann"), ("PERSON", "Bo Lund"), ("GPE", "Tempora"), ("GPE", "Zork"), ("GPE", "Paris")]
+
+
+def test_requests_are_those_of_the_whole_expression():
+    rng = random.Random(5)
+    words = "any|best|Find|restaurant|FOOD|near|In|by|close to|weather|WEATHER|for|hiv|std|is there a|d\u0131rections|to|re\u017ftaurant|\u212a|place\u0130|\n|x y z|checK whether|shop|around".split("|")
+    whole, sensitive = re.compile(service.SERVICE_REGEX), re.compile(service.SENSITIVE_REGEX)
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 8)))
+        low = text.lower()
+        slow = any(r.search(text) for r, _, groups in service._GATED if all(any(w in low for w in g) for g in groups))
+        assert service.asks_for_service(text) is (slow and not sensitive.search(text))
+        if text.isascii():
+            assert slow is bool(whole.search(text))
