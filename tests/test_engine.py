@@ -234,3 +234,9 @@ def test_requests_are_those_of_the_whole_expression():
         assert service.asks_for_service(text) is (slow and not sensitive.search(text))
         if text.isascii():
             assert slow is bool(whole.search(text))
+
+
+def test_of_between_names_starts_none():
+    parts = [("In", 0, 2), ("of", 3, 5), ("Zork", 6, 10)]
+    got = recognizers.Gazetteer()._named(parts, "In of Zork")
+    assert [next(got, None) for _ in range(3)][-1] is None
